@@ -38,55 +38,85 @@ def unpivot(df: DataFrame, columns: list[str] | None = None, keep: list[str] | N
     return df.select(*(keep or []), cells.alias("cell")).select(*(keep or []), "cell.*")
 
 
-def measures(v: Column) -> dict[str, Column]:
-    """What one value contributes to the sums; all integers, so addition order cannot matter."""
-    tokens = tx.tokens(v)
-    token_lengths = F.transform(tokens, lambda t: F.length(t).cast("bigint"))
-    square_sum = F.aggregate(token_lengths, F.lit(0).cast("bigint"), lambda a, x: a + x * x)
-    digits = tx.count_of(v, tx.digit_class())
-    runs = F.regexp_count(v, F.lit(tx.digit_class() + "+"))
+MEASURES = (
+    "chars", "alpha", "digit", "space", "upper", "tokens", "token_chars", "token_squares",
+    "digit_pairs", "pairs", "email", "url", "date", "numeric", "parse",
+)
+
+
+def measure(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Add what the value in ``text`` contributes to the sums, null where it is null.
+
+    All integers, so addition order cannot matter.  Most texts hold nothing but
+    ASCII and letters; one look decides whether the short ASCII classes do.
+    Results used twice become columns first, so no pass over a text repeats.
+    """
+    v = F.col(text)
+
+    def name(k: str) -> str:
+        return f"{prefix}{k}"
+
+    def either(wide: Column, plain: Column) -> Column:
+        return F.when(F.col(name("odd")), wide).otherwise(plain)
+
+    blanks, digits = f"[{tx.SPACE}]", tx.digit_class()
     length = F.length(v)
-    spaces = tx.count_of(v, f"[{tx.SPACE}]")
-    hit = {
+    looked = df.withColumn(name("odd"), v.rlike(tx.BEYOND_PLAIN))
+    # every run of blanks becomes one space, every run of digits one zero
+    short = looked.withColumns({
+        name("line"): either(
+            F.regexp_replace(v, blanks + "+", " "), F.regexp_replace(v, tx.ASCII_SPACE + "+", " ")
+        ),
+        name("runs_in"): either(F.regexp_replace(v, digits + "+", "0"), F.regexp_replace(v, "[0-9]+", "0")),
+    })
+    line, runs_in = F.col(name("line")), F.col(name("runs_in"))
+    split = short.withColumns({
+        name("parts"): F.split(line, " "),
+        name("runs"): F.length(runs_in) - F.length(F.replace(runs_in, F.lit("0"), F.lit(""))),
+    })
+    parts, runs = F.col(name("parts")), F.col(name("runs"))
+    token_chars = F.length(line) - F.size(parts) + 1
+    edges = (F.element_at(parts, 1) == "").cast("int") + (F.element_at(parts, -1) == "").cast("int")
+    columns = {
+        "chars": length,
+        "alpha": tx.count_of(v, r"\p{L}"),
+        "digit": length - F.length(runs_in) + runs,
+        "space": length - token_chars,
+        "upper": tx.count_of(v, r"\p{Lu}"),
+        "tokens": F.size(parts) - edges,
+        "token_chars": token_chars,
+        "token_squares": F.aggregate(
+            parts, F.lit(0).cast("bigint"), lambda a, t: a + F.length(t).cast("bigint") * F.length(t)
+        ),
+        "digit_pairs": length - F.length(runs_in),
+        "pairs": length - 1,
         "email": v.rlike(tx.EMAIL),
         "url": v.rlike(tx.URL_SHAPE_ANY_CASE),
         "date": v.rlike(tx.DATE_SHAPE),
         "numeric": v.rlike(tx.NUMERIC),
         "parse": v.rlike(tx.FLOAT),
     }
-    return {
-        k: c.cast("bigint") for k, c in {
-            "chars": length,
-            "alpha": tx.count_of(v, r"\p{L}"),
-            "digit": digits,
-            "space": spaces,
-            "upper": tx.count_of(v, r"\p{Lu}"),
-            "tokens": F.size(tokens),
-            "token_chars": length - spaces,
-            "token_squares": square_sum,
-            "digit_pairs": digits - runs,
-            "pairs": F.greatest(length - 1, F.lit(0)),
-            **hit,
-        }.items()
-    }
+    return split.select(
+        *df.columns,
+        *[F.when(v.isNotNull(), columns[k].cast("bigint")).alias(name(k)) for k in MEASURES],
+    )
 
 
 def value_table(cells: DataFrame) -> DataFrame:
     """Distinct (column, value) with its count ``n`` and measures; null and empty share a null key."""
     value = F.nullif(F.col("value"), F.lit(""))
-    cells = cells.select("column", value.alias("value")).withColumn("is_long", F.length("value") > _LONG)
-    keyed = cells.select(
-        "column", "is_long", tx.shuffle_key(F.col("value")).alias("key"),
-        *[F.when(F.col("is_long"), m).alias(f"m_{k}") for k, m in measures(F.col("value")).items()],
+    is_long = F.coalesce(F.length("value") > _LONG, F.lit(False))
+    keyed = cells.select("column", value.alias("value")).select(
+        "column", is_long.alias("is_long"), tx.shuffle_key(F.col("value")).alias("key"),
+        F.when(is_long, F.col("value")).alias("text"),
     )
-    names = list(measures(F.lit("")))
-    distinct = keyed.groupBy("column", "is_long", "key").agg(
-        F.count(F.lit(1)).alias("n"), *[F.max(f"m_{k}").alias(f"m_{k}") for k in names]
+    distinct = (
+        measure(keyed, "text", "m_").groupBy("column", "is_long", "key")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.max(f"m_{k}").alias(f"m_{k}") for k in MEASURES])
+        .withColumn("text", F.when(~F.col("is_long"), F.col("key")))
     )
-    short = measures(F.col("key"))
-    return distinct.select(
-        "column", "key", "n",
-        *[F.when(F.col("is_long"), F.col(f"m_{k}")).otherwise(short[k]).alias(k) for k in names],
+    return measure(distinct, "text", "s_").select(
+        "column", "key", "n", *[F.coalesce(f"m_{k}", f"s_{k}").alias(k) for k in MEASURES]
     )
 
 
@@ -98,14 +128,13 @@ def _std(squares: Column, total: Column, n: Column) -> Column:
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: ``column``, ``n_rows`` and the 19 features."""
     values = value_table(unpivot(df, columns))
-    names = list(measures(F.lit("")))
     n, present = F.col("n"), F.col("key").isNotNull()
     sums = values.groupBy("column").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("values"),
         F.count("key").alias("distinct"),
         F.sum(n * F.col("chars") * F.col("chars")).alias("char_squares"),
-        *[F.coalesce(F.sum(n * F.col(k)), F.lit(0)).alias(k) for k in names],
+        *[F.coalesce(F.sum(n * F.col(k)), F.lit(0)).alias(k) for k in MEASURES],
     )
     c = F.col
     v, chars = c("values"), F.greatest(c("chars"), F.lit(1))
