@@ -10,6 +10,7 @@ from dqspark.operators import impute, missing
 from dqspark.plans import companies as co
 from dqspark.plans.sqltext import quote, sql
 from dqspark.sources.durable import pin
+from dqspark.sources.sinks import first_per_key
 
 TEXTS = ("name", "description", "state", "country", "city", "zip_code", "address", "url")
 TARGETS = ("description", "company_size", "state", "country", "city", "zip_code", "address")
@@ -144,7 +145,8 @@ def impute_geo_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 def impute_engine(spark: SparkSession, sf: str) -> DataFrame:
     """The report of the whole engine over the cleaned records."""
-    _, report = impute.run_engine(pin(co.cleaned(spark, sf).drop("_seq").dropDuplicates(["company_id"]), "engine"))
+    first = first_per_key(co.cleaned(spark, sf), "company_id").drop("_seq")
+    _, report = impute.run_engine(pin(first, "engine"))
     return report
 
 
