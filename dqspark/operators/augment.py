@@ -13,6 +13,7 @@ from dqspark.functions.hashing import draw, draw_between, order_key
 from dqspark.operators.ranking import at_or_before, nth_by_hash
 from dqspark.operators.rowfeat import OPTIONAL, ROW_FEATURES, row_features
 from dqspark.operators.zip3 import state_clean, with_eligibility, zip3_pool, zip3_reference
+from dqspark.sources.durable import pin
 
 # --- fixed values ---------------------------------------------------------------
 KINDS = ("encoding", "truncation", "zip_state_mismatch", "null_storm")
@@ -28,16 +29,22 @@ def _target() -> Column:
     return F.coalesce(F.col("description"), F.lit("")) != ""
 
 
-def _with_text(df: DataFrame, damaged, where: Column) -> DataFrame:
+def _with_text(df: DataFrame, where: Column | None) -> DataFrame:
+    """Add ``__where``, ``__use`` (description or name) and ``__text``, null outside ``where``."""
     use = _target()
     text = F.when(use, F.col("description")).otherwise(F.coalesce(F.col("name"), F.lit("")))
-    staged = df.withColumns({"__where": where, "__use": use}).withColumn(
-        "__text", F.when(F.col("__where"), damaged(text))
+    return df.withColumns({"__where": F.lit(True) if where is None else where, "__use": use}).withColumn(
+        "__text", F.when(F.col("__where"), text)
     )
-    return staged.withColumns({
-        "description": F.when(F.col("__where") & F.col("__use"), F.col("__text")).otherwise(F.col("description")),
-        "name": F.when(F.col("__where") & ~F.col("__use"), F.col("__text")).otherwise(F.col("name")),
-    }).drop("__text", "__use", "__where")
+
+
+def _put_back(df: DataFrame, damaged: Column, columns: list[str]) -> DataFrame:
+    hit = F.coalesce("__where", F.lit(False))
+    put = {
+        "description": F.when(hit & F.col("__use"), F.col("__bad")).otherwise(F.col("description")),
+        "name": F.when(hit & ~F.col("__use"), F.col("__bad")).otherwise(F.col("name")),
+    }
+    return df.withColumn("__bad", damaged).select(*[put[c].alias(c) if c in put else f"`{c}`" for c in columns])
 
 
 def damage_encoding(df: DataFrame, key: str, seed: int = SEED, where: Column | None = None) -> DataFrame:
@@ -45,32 +52,29 @@ def damage_encoding(df: DataFrame, key: str, seed: int = SEED, where: Column | N
     k = F.col(key)
     swaps = F.create_map(*[F.lit(x) for pair in MISREAD.items() for x in pair])
     hit_words = list(MISREAD)
-
-    def damaged(text: Column) -> Column:
-        chars = F.split(text, "")
-        places = F.filter(
-            F.transform(chars, lambda c, i: F.when(c.isin(*hit_words), i)), lambda i: i.isNotNull()
-        )
-        m = F.size(places)
-        hits = F.least(m, draw_between(f"{seed}hits", k, 1, 3))
-        # three different indexes into the candidates, each drawn from what is left
-        a = draw(f"{seed}a", k) % F.greatest(m, F.lit(1))
-        b0 = draw(f"{seed}b", k) % F.greatest(m - 1, F.lit(1))
-        b = b0 + (b0 >= a).cast("bigint")
-        c0 = draw(f"{seed}c", k) % F.greatest(m - 2, F.lit(1))
-        c1 = c0 + (c0 >= F.least(a, b)).cast("bigint")
-        c = c1 + (c1 >= F.greatest(a, b)).cast("bigint")
-        chosen = F.transform(
-            F.slice(F.array(a, b, c), 1, hits), lambda p: F.get(places, p.cast("int"))
-        )
-        swapped = F.array_join(
-            F.transform(chars, lambda ch, i: F.when(F.array_contains(chosen, i), swaps[ch]).otherwise(ch)), ""
-        )
-        at = (draw(f"{seed}at", k) % (F.length(text) + 1)).cast("int")
-        inserted = F.concat(F.substring(text, F.lit(1), at), F.lit(FRAGMENT), F.substring(text, at + 1, F.length(text)))
-        return F.when(m == 0, inserted).otherwise(swapped)
-
-    return _with_text(df, damaged, F.lit(True) if where is None else where)
+    text = F.col("__text")
+    places = F.filter(
+        F.transform(F.split(text, ""), lambda c, i: F.when(c.isin(*hit_words), i)), lambda i: i.isNotNull()
+    )
+    staged = _with_text(df, where).withColumn("__places", places).withColumn("__m", F.size("__places"))
+    m = F.col("__m")
+    # three different indexes into the candidates, each drawn from what is left
+    a = draw(f"{seed}a", k) % F.greatest(m, F.lit(1))
+    b0 = draw(f"{seed}b", k) % F.greatest(m - 1, F.lit(1))
+    b = b0 + (b0 >= a).cast("bigint")
+    c0 = draw(f"{seed}c", k) % F.greatest(m - 2, F.lit(1))
+    c1 = c0 + (c0 >= F.least(a, b)).cast("bigint")
+    c = c1 + (c1 >= F.greatest(a, b)).cast("bigint")
+    hits = F.least(m, draw_between(f"{seed}hits", k, 1, 3))
+    staged = staged.withColumn("__picks", F.slice(F.array(a, b, c), 1, F.greatest(hits, F.lit(0))))
+    chosen = F.sort_array(F.transform("__picks", lambda p: F.get("__places", p.cast("int"))), asc=False)
+    # from the last place to the first, so earlier places keep their numbers
+    swapped = F.aggregate(chosen, text, lambda t, p: F.concat(
+        F.substring(t, F.lit(1), p), swaps[F.substring(t, p + 1, F.lit(1))], F.substring(t, p + 2, F.length(t))
+    ))
+    at = (draw(f"{seed}at", k) % (F.length(text) + 1)).cast("int")
+    inserted = F.concat(F.substring(text, F.lit(1), at), F.lit(FRAGMENT), F.substring(text, at + 1, F.length(text)))
+    return _put_back(staged, F.when(m == 0, inserted).otherwise(swapped), df.columns)
 
 
 def damage_truncation(df: DataFrame, key: str, seed: int = SEED, where: Column | None = None) -> DataFrame:
@@ -85,11 +89,9 @@ def damage_truncation(df: DataFrame, key: str, seed: int = SEED, where: Column |
         for i in range(1, 9)
     ])
 
-    def damaged(text: Column) -> Column:
-        keep = F.greatest(F.lit(1), F.floor(F.length(text) * share)).cast("int")
-        return F.concat(F.substring(text, F.lit(1), keep), letters)
-
-    return _with_text(df, damaged, F.lit(True) if where is None else where)
+    text = F.col("__text")
+    keep = F.greatest(F.lit(1), F.floor(F.length(text) * share)).cast("int")
+    return _put_back(_with_text(df, where), F.concat(F.substring(text, F.lit(1), keep), letters), df.columns)
 
 
 def damage_nulls(df: DataFrame, key: str, seed: int = SEED, where: Column | None = None) -> DataFrame:
@@ -198,9 +200,11 @@ def assign_kinds(df: DataFrame, key: str, reference: DataFrame, share: float, se
 
 def labeled_rows(df: DataFrame, key: str = "company_id", share: float = 800 / 24473, seed: int = SEED) -> DataFrame:
     """Rows with ``corruption_type``, ``is_synthetic``, ``label`` and the features after damage."""
-    reference = zip3_reference(df)
+    # counts, cuts and damage all read the table, so it is written once; so is the assignment
+    df = pin(df, "rows")
+    reference = pin(zip3_reference(df), "zip3")
     pool = zip3_pool(df, reference)
-    typed = assign_kinds(df, key, reference, share, seed)
+    typed = pin(assign_kinds(df, key, reference, share, seed), "kinds")
     kind = F.col("corruption_type")
     # one pass: each damage touches only its own rows, the others flow through
     rows = damage_zip(typed, key, reference, pool, seed, kind == "zip_state_mismatch")

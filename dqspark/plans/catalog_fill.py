@@ -19,11 +19,11 @@ SIZE_PREDICTORS, SIZE_KIND = impute.BENCHMARKED["company_size"]
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return co.cleaned(spark, sf).select("company_id", *TEXTS, "company_size")
+    return pin(co.cleaned(spark, sf).select("company_id", *TEXTS, "company_size"), "records")
 
 
 def _seq_records(spark: SparkSession, sf: str) -> DataFrame:
-    return co.cleaned(spark, sf).withColumnRenamed("_seq", "seq")
+    return pin(co.cleaned(spark, sf).withColumnRenamed("_seq", "seq"), "records")
 
 
 def missing_profile(spark: SparkSession, sf: str) -> DataFrame:

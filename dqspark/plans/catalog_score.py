@@ -18,8 +18,12 @@ TREES, ROUNDS = 100, 20
 
 
 def _first(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned records, one per key."""
-    return first_per_key(co.cleaned(spark, sf), "company_id")
+    """Cleaned records, one per key, written once because every query here reads them repeatedly."""
+    return pin(first_per_key(co.cleaned(spark, sf), "company_id"), "first")
+
+
+def _rows(spark: SparkSession, sf: str) -> DataFrame:
+    return pin(co.cleaned(spark, sf), "rows")
 
 
 def zip3_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,22 +35,22 @@ def zip3_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zip3_pool(spark: SparkSession, sf: str) -> DataFrame:
-    rows = co.cleaned(spark, sf)
+    rows = _rows(spark, sf)
     return zip3.zip3_pool(rows, zip3.zip3_reference(rows))
 
 
 def zip3_eligible(spark: SparkSession, sf: str) -> DataFrame:
-    rows = co.cleaned(spark, sf)
+    rows = _rows(spark, sf)
     return zip3.eligible_rows(rows, zip3.zip3_reference(rows)).select(F.col("_seq").alias("seq"), "zip3", "state_clean")
 
 
 def zip3_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    rows = co.cleaned(spark, sf)
+    rows = _rows(spark, sf)
     return zip3.consistency(rows, zip3.zip3_reference(rows)).withColumn("rate", F.round("rate", 6))
 
 
 def row_quality_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = co.cleaned(spark, sf)
+    rows = _rows(spark, sf)
     return rowfeat.row_features(rows, zip3.zip3_reference(rows)).select(
         F.col("_seq").alias("seq"), *[F.round(f, 6).alias(f) for f in ROW_FEATURES]
     )
@@ -227,7 +231,7 @@ _SWAP = "CASE c " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in augm
 _HITS = ", ".join(quote(k) for k in augment.MISREAD)
 _ENCODE = [
     ("e1", f"SELECT *, {_TARGET} AS txt, coalesce(description, '') <> '' AS use_d FROM first"),
-    ("e2", f"SELECT *, string_split(txt, '') AS chars, list_filter(range(1, length(txt) + 1), lambda i: substr(txt, i, 1) IN ({_HITS})) AS places FROM e1"),
+    ("e2", f"SELECT *, string_split(txt, '') AS chars, list_filter(list_transform(string_split(txt, ''), lambda c, i: CASE WHEN c IN ({_HITS}) THEN i END), lambda i: i IS NOT NULL) AS places FROM e1"),
     ("e3", f"""SELECT *, len(places) AS m, least(len(places), {draw('42hits', 'company_id')} % 3 + 1) AS hits,
       {draw('42a', 'company_id')} % greatest(len(places), 1) AS a, {draw('42b', 'company_id')} % greatest(len(places) - 1, 1) AS b0,
       {draw('42c', 'company_id')} % greatest(len(places) - 2, 1) AS c0 FROM e2"""),
