@@ -76,7 +76,7 @@ def http_url(raw: Column) -> tuple[Column, Column]:
     user = F.regexp_extract(authority, r"^(.*)@", 1)
     host_port = F.regexp_extract(authority, r"([^@]*)\z", 1)
     host = F.lower(F.regexp_extract(host_port, r"^(\[[^\]]*\]|[^:]*)", 1))
-    port_text = F.regexp_extract(host_port, r"^(?:\[[^\]]*\]|[^:]*):(.*)\z", 1)
+    port_text = F.regexp_extract(host_port, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)\z", 1)
     port = F.regexp_replace(port_text, r"^0+(?=\d)", "")
     ascii_host = F.when(
         host.rlike(r"[^\x00-\x7f]"),

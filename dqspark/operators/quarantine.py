@@ -75,10 +75,11 @@ def fit(train: DataFrame, key: str, rounds: int = 50, trees: int = iforest.TREES
     shell = QuarantineModel(None, forest, sample, version=version)
     rows = balanced_weight(train.withColumn("__label", row_label(train)), "__label")
     matrix = shell.matrix(rows).select("__x", "__label", "weight")
-    shell.booster = GBTClassifier(
+    booster = GBTClassifier(
         featuresCol="__x", labelCol="__label", weightCol="weight", predictionCol="__y",
-        probabilityCol="__p", rawPredictionCol="__r", maxIter=rounds, maxDepth=5, seed=SEED,
-    ).fit(matrix)
+        maxIter=rounds, maxDepth=5, seed=SEED,
+    )
+    shell.booster = booster.setProbabilityCol("__p").setRawPredictionCol("__r").fit(matrix)
     return shell
 
 
