@@ -103,17 +103,17 @@ class Encoder:
 
 
 def class_codes(train: DataFrame, target: str) -> DataFrame:
-    """(class, code): position of each known class in sorted order; one row per class."""
-    classes = train.filter(F.col(target).isNotNull()).select(F.col(target).alias("class")).distinct()
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("class"))
-    return classes.select("class", (place - 1).cast("double").alias("code"))
+    """(__class, __code): position of each known class in sorted order; one row per class."""
+    classes = train.filter(F.col(target).isNotNull()).select(F.col(target).alias("__class")).distinct()
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__class"))
+    return classes.select("__class", (place - 1).cast("double").alias("__code"))
 
 
 def _to_class(df: DataFrame, raw_code: Column, codes: DataFrame) -> DataFrame:
     """Round half to even, clip to known codes, translate back."""
-    top = codes.agg(F.max("code")).scalar()
+    top = codes.agg(F.max("__code")).scalar()
     code = F.least(F.greatest(F.rint(raw_code), F.lit(0.0)), top)
-    lookup = codes.select(F.col("class").alias("predicted"), F.col("code").alias("__code"))
+    lookup = codes.select(F.col("__class").alias("predicted"), "__code")
     return df.withColumn("__c", code).join(lookup, F.col("__c") == F.col("__code"), "left").drop("__c", "__code")
 
 
@@ -137,16 +137,16 @@ class KNearest:
     def fit(self, known, target, predictors, key):
         self.codes = class_codes(known, target)
         self.encoder = Encoder.fit(known, predictors)
-        coded = known.join(self.codes, F.col(target) == F.col("class"))
+        coded = known.join(self.codes, F.col(target) == F.col("__class"))
         self.train = self.encoder.transform(coded).select(
-            *self.encoder.axes, "code", order_key(SEED, F.col(key)).alias("__o")
+            *self.encoder.axes, "__code", order_key(SEED, F.col(key)).alias("__o")
         )
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
         encoded = self.encoder.transform(rows)
         axes = self.encoder.axes
-        means = nearest(self.train, encoded, axes, "code", "__o", NEIGHBOURS)
+        means = nearest(self.train, encoded, axes, "__code", "__o", NEIGHBOURS)
         joined = encoded.join(means, axes, "left")
         return _to_class(joined, F.col("mean"), self.codes).select(*rows.columns, "predicted")
 
@@ -160,10 +160,10 @@ class Ridge:
         self.codes = class_codes(known, target)
         self.encoder = Encoder.fit(known, predictors)
         self.assembler = VectorAssembler(inputCols=self.encoder.axes, outputCol="__x")
-        coded = known.join(self.codes, F.col(target) == F.col("class"))
-        train = self.assembler.transform(self.encoder.transform(coded)).select("__x", "code")
+        coded = known.join(self.codes, F.col(target) == F.col("__class"))
+        train = self.assembler.transform(self.encoder.transform(coded)).select("__x", "__code")
         self.model = LinearRegression(
-            featuresCol="__x", labelCol="code", predictionCol="__y", solver="normal", regParam=1e-6
+            featuresCol="__x", labelCol="__code", predictionCol="__y", solver="normal", regParam=1e-6
         ).fit(train)
         return self
 
@@ -193,11 +193,11 @@ class Trees:
             ).fit(known.select(*self.indexed))
         inputs = [f"i_{p}" if p in self.indexed else f"x_{p}" for p in predictors]
         self.assembler = VectorAssembler(inputCols=inputs, outputCol="__x")
-        coded = known.join(self.codes, F.col(target) == F.col("class"))
+        coded = known.join(self.codes, F.col(target) == F.col("__class"))
         self.model = RandomForestClassifier(
-            featuresCol="__x", labelCol="code", predictionCol="__y", numTrees=self.trees,
+            featuresCol="__x", labelCol="__code", predictionCol="__y", numTrees=self.trees,
             maxDepth=self.depth, maxBins=2 * self.max_levels, seed=SEED,
-        ).fit(self._features(coded).select("__x", "code"))
+        ).fit(self._features(coded).select("__x", "__code"))
         return self
 
     def _features(self, rows: DataFrame) -> DataFrame:
