@@ -65,8 +65,8 @@ def _resolve_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(?:^|/)(?:\.|%2[eE]){1,2}(?:/|\z)"), resolved).otherwise(path)
 
 
-def http_url(raw: Column) -> tuple[Column, Column]:
-    """(normal form, failure message); exactly one of the two is null."""
+def _taken_apart(raw: Column) -> Column:
+    """Struct of normal form and failure message, by the full split."""
     text = F.regexp_replace(
         F.regexp_replace(raw, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", ""
     )
@@ -99,7 +99,7 @@ def http_url(raw: Column) -> tuple[Column, Column]:
     bad_host = ascii_host.isNull() | (
         ~ascii_host.startswith("[") & ascii_host.rlike(BAD_HOST)
     )
-    slow_error = (
+    error = (
         F.when(text == "", MESSAGE_EMPTY)
         .when(scheme == "", MESSAGE_RELATIVE)
         .when(~scheme.isin("http", "https"), MESSAGE_SCHEME)
@@ -107,16 +107,28 @@ def http_url(raw: Column) -> tuple[Column, Column]:
         .when(bad_host, MESSAGE_DOMAIN)
         .when(bad_port, MESSAGE_PORT)
     )
+    return F.struct(normal.alias("value"), error.alias("error"))
+
+
+def http_url(raw: Column) -> tuple[Column, Column]:
+    """(normal form, failure message); exactly one of the two is null.
+
+    The full split sits in a lambda over a one-element array: Spark evaluates
+    lambdas outside the generated code, which keeps the method every row runs
+    through small enough to be compiled.
+    """
     plain = raw.rlike(PLAIN) & (F.length(raw) <= MAX_LENGTH)
     no_path = raw.rlike(r"^https?://[^/?#]*(?:\z|[?#])")
     plain_value = F.when(
         no_path, F.regexp_replace(raw, r"^(https?://[^/?#]*)", "$1/")
     ).otherwise(raw)
+    parts = F.transform(F.array(raw), _taken_apart)[0]
+    usable = raw.isNotNull() & (F.length(raw) <= MAX_LENGTH)
+    value = F.when(plain, plain_value).when(usable & parts["error"].isNull(), parts["value"])
     error = (
-        F.when(raw.isNull(), MESSAGE_NULL)
-        .when(plain, F.lit(None).cast("string"))
+        F.when(plain, F.lit(None).cast("string"))
+        .when(raw.isNull(), MESSAGE_NULL)
         .when(F.length(raw) > MAX_LENGTH, MESSAGE_LONG)
-        .otherwise(slow_error)
+        .otherwise(parts["error"])
     )
-    value = F.when(plain, plain_value).otherwise(F.when(error.isNull(), normal))
     return value, error

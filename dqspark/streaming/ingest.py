@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dqspark.operators import clean, contract
 from dqspark.operators.contract import COMPANY, SEQ, Contract
 from dqspark.sources.durable import pin
-from dqspark.sources.files import with_sequence
+from dqspark.sources.files import _exists, with_sequence
 from dqspark.sources.sinks import quarantine_records, write_clean
 
 
@@ -27,7 +28,11 @@ def start_ingest(
         annotated = pin(contract.annotate(rows, rules), "stream")
         write_clean(clean.clean_records(contract.valid_records(annotated), rules), clean_path, rules.key)
         rejected = contract.invalid_rows(annotated)
-        quarantine_records(rejected, batch_id * (1 << 40) + 1).write.mode("overwrite").parquet(
+        last = None
+        if _exists(batch.sparkSession, f"{quarantine_path}/batch=*"):
+            others = batch.sparkSession.read.option("basePath", quarantine_path).parquet(f"{quarantine_path}/batch=*")
+            last = others.filter(F.col("batch") != batch_id).agg(F.max("id")).first()[0]
+        quarantine_records(rejected, (last or 0) + 1).write.mode("overwrite").parquet(
             f"{quarantine_path}/batch={batch_id}"
         )
 
