@@ -1,7 +1,9 @@
 """The company feed: a 10-column text table derived from the given tables.
 
 The given tables are clean, so missing, malformed and repeated rows are derived
-from keys by fixed arithmetic.  One SQL text serves Spark and DuckDB.
+from keys by fixed arithmetic.  One SQL text serves Spark and DuckDB.  The hint
+keeps the table with the long texts from being broadcast: its size says little
+about its compressed files, and the shuffle spreads the text work over tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dqspark.operators import clean, contract
 COPY_OFFSET = 1_000_000_000_000
 
 FEED_SQL = f"""
-SELECT
+SELECT /*+ MERGE(d) */
   k + copy_of * CAST({COPY_OFFSET} AS BIGINT) AS _seq,
   CASE WHEN k % 61 = 0 THEN NULL WHEN k % 67 = 0 THEN 'abc'
        WHEN k % 71 = 0 THEN CAST(k - 1 AS STRING) ELSE CAST(k AS STRING) END AS company_id,
