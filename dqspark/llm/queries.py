@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.llm import labels as labelling
-from dqspark.llm import pii, quality, toxicity
+from dqspark.llm import neardup, pii, quality, suffixes, toxicity
 from dqspark.llm.common import fold, table, text_of
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates among all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under repeated strings of 200 bytes, removed from every document."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compression classifier: learned outside fold 0 of 5, applied to every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -33,5 +43,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op10_pii": op10_pii}
+QUERIES = {"op1_neardup": op1_neardup, "op3_suffixes": op3_suffixes, "op2_quality": op2_quality, "op7_toxicity": op7_toxicity, "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
