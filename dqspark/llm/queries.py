@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.llm import labels as labelling
-from dqspark.llm import linerules, neardup, pii, quality, suffixes, toxicity
+from dqspark.llm import htmlmain, linerules, neardup, pii, quality, suffixes, toxicity
 from dqspark.llm.common import fold, table, text_of
 
 
@@ -29,6 +29,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op4_htmlmain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmlmain.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_linerules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and line frequency of every document."""
     return linerules.judge(table(spark, sf_dir, "documents"))
@@ -49,7 +54,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_neardup": op1_neardup, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op6_linerules": op6_linerules,
+    "op1_neardup": op1_neardup, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_htmlmain": op4_htmlmain,
+    "op6_linerules": op6_linerules,
     "op7_toxicity": op7_toxicity, "op10_pii": op10_pii,
 }
 ORACLE = {"op6_linerules": linerules.ORACLE}
