@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.llm import labels as labelling
-from dqspark.llm import htmlmain, linerules, neardup, pii, quality, suffixes, toxicity
+from dqspark.llm import decontaminate, htmlmain, linerules, neardup, pii, quality, suffixes, toxicity
 from dqspark.llm.common import fold, table, text_of
 
 
@@ -34,6 +34,11 @@ def op4_htmlmain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_linerules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and line frequency of every document."""
     return linerules.judge(table(spark, sf_dir, "documents"))
@@ -55,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_neardup": op1_neardup, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_htmlmain": op4_htmlmain,
-    "op6_linerules": op6_linerules,
+    "op5_decontaminate": op5_decontaminate, "op6_linerules": op6_linerules,
     "op7_toxicity": op7_toxicity, "op10_pii": op10_pii,
 }
-ORACLE = {"op6_linerules": linerules.ORACLE}
+ORACLE = {"op5_decontaminate": decontaminate.ORACLE, "op6_linerules": linerules.ORACLE}

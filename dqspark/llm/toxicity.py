@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,18 +150,18 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", weight: s
     chosen = telling(slot_counts(rows), n1, n0, FEATURES) if n1 and n0 else []
     if not chosen:
         return FactorizationMachine(intercept=prior)
-    at, size = {s: i for i, s in enumerate(chosen)}, len(chosen)
+    at = {s: s for s in chosen}
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<string>")
     def inputs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lookup = Slots(at)
         for batch in batches:
-            yield pd.Series([lookup.of_text(t) for t in batch])
+            yield pd.Series([list(map(str, lookup.of_text(t))) for t in batch])
 
-    vector = F.udf(lambda on: Vectors.sparse(size, on, [1.0] * len(on)), VectorUDT())
+    vector = CountVectorizerModel.from_vocabulary(list(map(str, chosen)), inputCol="on", outputCol="v", minTF=0.0)
     points = pin(
-        rows.select(inputs("text").alias("on"), F.col("label").cast("double").alias("label"))
-        .select(vector("on").alias("v"), "label"), "toxicity-points",
+        vector.transform(rows.select(inputs("text").alias("on"), F.col("label").cast("double").alias("label")))
+        .select("v", "label"), "toxicity-points",
     )
     fitted = FMClassifier(
         featuresCol="v", labelCol="label", factorSize=FACTORS, stepSize=0.1, maxIter=STEPS, regParam=1e-4,
