@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.llm import labels as labelling
-from dqspark.llm import decontaminate, htmlmain, linerules, mixing, neardup, pii, quality, suffixes, toxicity
+from dqspark.llm import decontaminate, htmlmain, licenses, linerules, mixing, neardup, pii, quality, suffixes, toxicity
 from dqspark.llm.common import fold, table, text_of
 
 
@@ -58,6 +58,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, taken as files of source and language directories."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.document_path(), carry=("doc_id",)).drop("path")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
@@ -66,6 +71,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_neardup": op1_neardup, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_htmlmain": op4_htmlmain,
     "op5_decontaminate": op5_decontaminate, "op6_linerules": op6_linerules,
-    "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op10_pii": op10_pii,
+    "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_licenses": op9_licenses, "op10_pii": op10_pii,
+}
+ORACLE = {
+    "op5_decontaminate": decontaminate.ORACLE, "op6_linerules": linerules.ORACLE, "op8_mixing": mixing.ORACLE,
+    "op9_licenses": licenses.ORACLE,
 }
-ORACLE = {"op5_decontaminate": decontaminate.ORACLE, "op6_linerules": linerules.ORACLE, "op8_mixing": mixing.ORACLE}
