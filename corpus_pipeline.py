@@ -36,8 +36,9 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("text_hash").distinct()
-    return docs.join(found, F.xxhash64(text_of("text")) == F.col("text_hash"), "left_anti").select(*docs.columns)
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    leaks = found.select(F.col("text_hash").alias("_leak_hash")).distinct()
+    return docs.join(leaks, F.xxhash64(text_of("text")) == F.col("_leak_hash"), "left_anti").select(*docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +55,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where a budget ends inside a document, its text is the first ``taken`` words with single
     spaces.  Rows that repeat an id are one document here.
     """
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("mixed_id"), "epoch", "tokens", "taken").distinct()
+    taken = mixing.mix(docs).select(
+        F.col("doc_id").alias("_mix_id"), F.col("tokens").alias("_mix_tokens"), "epoch", "taken"
+    ).distinct()
     own = [c for c in docs.columns if c not in ("epoch", "taken")]
-    joined = docs.select(*own).join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")) & (
-        F.size(words(text_of("text"))) == F.col("tokens")))
-    cut = F.when(F.col("taken") < F.col("tokens"), F.array_join(F.slice(words(text_of("text")), 1, F.col("taken").cast("int")), " "))
+    found = words(text_of("text"))
+    joined = docs.select(*own).join(
+        taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.size(found) == F.col("_mix_tokens"))
+    )
+    cut = F.when(F.col("taken") < F.col("_mix_tokens"), F.array_join(F.slice(found, 1, F.col("taken").cast("int")), " "))
     return joined.withColumn("text", F.coalesce(cut, F.col("text"))).select(*own, "epoch", "taken")
 
 

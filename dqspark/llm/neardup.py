@@ -224,6 +224,12 @@ def rest_pairs(prefix: DataFrame, labels: DataFrame) -> DataFrame:
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def one_document(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of rows that share an id."""
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last")
+    return rows.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -244,16 +250,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not hot.isEmpty():
         prefix = pin(members_of(prefixes(texts.join(hot, "node", "left_semi"))), "prefixes")
         pairs = pairs.unionAll(candidate_pairs(prefix, nodes)).distinct()
-    links = pin(confirm(pairs, texts), "links")
+    links = pin(confirm(pairs, texts).unionAll(one_document(rows)), "links")
     labels = components(links)
     if prefix is not None and not prefix.filter(F.col("size") > SMALL).isEmpty():
         more = confirm(rest_pairs(prefix, labels), texts)
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # rows of one id are one document: the smallest component of any of them
-    per_id = named.groupBy("doc_id").agg(F.min("component").alias("component_id"))
-    judged = named.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(per_id, "doc_id").select(
-        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
+    judged = named.select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"),
+        (F.col("doc_id") == F.col("component")).alias("kept"),
     )
     return judged.unionAll(without_id(docs, doc_id, text))
 

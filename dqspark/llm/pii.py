@@ -47,6 +47,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _VALUE = re.compile(r"[\s:=#.\"']{0,4}(?:no\.?|number|is)?[\s:=#.\"']{0,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){3,40})", re.ASCII)
+_IBAN_SHAPE = re.compile(r"[A-Za-z]{2}[0-9]{2}[ -]?[A-Za-z0-9]{4}", re.ASCII)
 _SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,256})")
 _AUTHORITY = re.compile(r"([^\s/?#@<>\"]{1,256})@[A-Za-z0-9.-]+")
 _TARGET = re.compile(r"[A-Za-z0-9+().-]{5,40}")
@@ -188,6 +189,8 @@ def _added(text: str, loose: list[int], cues: list[tuple[int, int, str]]) -> Ite
                     yield "account", lo, lo + size
                     break
             else:
+                if _IBAN_SHAPE.match(value):  # an IBAN whose check digits are wrong is none
+                    continue
                 head = re.match(r"[A-Za-z]{0,4}[ -]?[0-9](?:[ -]?[0-9])*", value, re.ASCII)
                 if head and sum("0" <= c <= "9" for c in head.group()) >= 6:
                     yield "account", lo, lo + head.end()
