@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import LOWER, UPPER, lower_ascii, pin, text_of, words
+from dqspark.llm.common import LOWER, UPPER, likely_in, lower_ascii, pin, text_of, words
 from dqspark.llm.linerules import let
 
 SHINGLE = 5
@@ -109,7 +109,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     items = pin(items_of(benchmark), "items")
     starts = pin(run_starts(docs, items, text), "starts")
     per_text = starts.groupBy("text_hash").agg(F.collect_set(F.struct("size", "place")).alias("starts"))
-    touched = docs.select(F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text")).join(per_text, "text_hash")
+    texts = docs.select(F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
+    # only texts with a hit, and few others, are moved
+    touched = likely_in(texts, F.col("text_hash"), starts, "text_hash").join(per_text, "text_hash")
     cut = touched.select(
         "text_hash", "starts", shingles(words(lower_ascii(F.col("text")))).alias("s")
     ).select("text_hash", "s", F.explode("starts").alias("start"))
