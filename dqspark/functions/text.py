@@ -19,6 +19,8 @@ SPACE = (
     r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# What the bytes 0x80 to 0xBF decode to in Windows-1252.
+MOJIBAKE_TAIL = r"[\x{a0}-\x{bf}ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]"
 ASCII_PUNCT = r"\x{21}-\x{2f}\x{3a}-\x{40}\x{5b}-\x{60}\x{7b}-\x{7e}"
 EMAIL = rf"^[^@{SPACE}]+@[^@{SPACE}]+\.[^@{SPACE}]+\n?\z"
 URL_EXPLICIT = rf"(?:https?://|www\.)[^{SPACE}]+"
@@ -66,14 +68,9 @@ def digit_class() -> str:
     return r"[\p{Nd}" + _ranges(extra) + "]"
 
 
-@lru_cache(maxsize=None)
 def mojibake() -> str:
-    """UTF-8 bytes read as cp1252: a lead character, then whatever 0x80..0xBF decodes to."""
-    tail = sorted(
-        ord(ch) for ch in bytes(range(0x80, 0xC0)).decode("cp1252", errors="ignore")
-    )
-    tail_class = f"[{_ranges(tail)}]"
-    return f"[ÃÂ]{tail_class}|â€{tail_class}"
+    """A lead character of UTF-8 read as Windows-1252, and one that can follow it."""
+    return f"[ÃÂ]{MOJIBAKE_TAIL}|â€{MOJIBAKE_TAIL}"
 
 
 def count_of(text: Column, char_class: str) -> Column:
@@ -115,5 +112,8 @@ def normalize(text: Column) -> Column:
 
 
 def shuffle_key(text: Column) -> Column:
-    """Stand-in for ``text`` in groupings: long values travel as their SHA-256."""
-    return F.when(F.length(text) > 96, F.sha2(text, 256)).otherwise(text)
+    """Stand-in for ``text`` in groupings: values over 96 characters travel as their SHA-512.
+
+    The digest has 128 hex digits, so it can't equal a value that travels as it is.
+    """
+    return F.when(F.length(text) > 96, F.sha2(text, 512)).otherwise(text)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.operators.fingerprint import FEATURES, fingerprint
+from dqspark.operators.lookup import look_up
 from dqspark.operators.metrics import macro_f1
 from dqspark.operators.ranking import stratified_split
 
@@ -24,7 +25,7 @@ def balanced_weight(df: DataFrame, label: str) -> DataFrame:
         label,
         (F.sum("__n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("__n"))).alias("weight"),
     )
-    return df.join(weights, label)
+    return look_up(df, weights, label, "inner")
 
 
 def train(labeled: DataFrame, trees: int = TREES, seed: int = 42) -> PipelineModel:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dqspark.functions.tails import kolmogorov_p
 from dqspark.operators.ranking import running_sums
+from dqspark.sources.durable import pin
 
 # --- fixed values ---------------------------------------------------------------
 FLOOR = 1e-4
@@ -125,7 +126,11 @@ def ks_of_values(baseline: DataFrame, batch: DataFrame, column: str) -> DataFram
 
 
 def check_drift(profile: DataFrame, batch: DataFrame) -> DataFrame:
-    """Report of two profiles: metric, kind, value, p_value, severity, any_flagged."""
+    """Report of two profiles: metric, kind, value, p_value, severity, any_flagged.
+
+    Profiles and the three report rows are written once, so each input is read once.
+    """
+    profile, batch = pin(profile, "profile"), pin(batch, "profile")
     def part(df: DataFrame, metric: str) -> DataFrame:
         return df.filter(F.col("metric") == metric)
 
@@ -142,7 +147,7 @@ def check_drift(profile: DataFrame, batch: DataFrame) -> DataFrame:
         F.lit("description_len").alias("metric"), F.lit("ks").alias("kind"),
         F.col("statistic").alias("value"), "p_value", "severity",
     )
-    report = psis.unionByName(lens)
+    report = pin(psis.unionByName(lens), "drift")
     flagged = report.agg(F.bool_or(F.col("severity") != "none").alias("any_flagged"))
     return report.join(F.broadcast(flagged.withColumn("__g", F.lit(0))), F.lit(0) == F.col("__g")).drop("__g")
 

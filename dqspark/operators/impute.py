@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.hashing import order_key
 from dqspark.operators.contract import SEQ
+from dqspark.operators.lookup import look_up
 from dqspark.operators.metrics import macro_f1
 from dqspark.operators.missing import diagnose, missing_profile
 from dqspark.operators.neighbors import nearest
@@ -91,12 +92,10 @@ class Encoder:
     def transform(self, df: DataFrame) -> DataFrame:
         for p in self.predictors:
             if p in self.shares:
-                lookup = self.shares[p].select(
-                    F.col("value").alias(f"__v_{p}"), F.col("share").alias(f"__s_{p}")
-                )
-                df = df.join(lookup, F.col(p) == F.col(f"__v_{p}"), "left").withColumn(
+                shares = self.shares[p].select(F.col("value").alias(p), F.col("share").alias(f"__s_{p}"))
+                df = look_up(df, shares, p).withColumn(
                     f"x_{p}", F.coalesce(F.col(f"__s_{p}"), F.lit(0.0))
-                ).drop(f"__v_{p}", f"__s_{p}")
+                ).drop(f"__s_{p}")
             else:
                 df = df.withColumn(f"x_{p}", F.coalesce(F.col(p).cast("double"), self.means[p].scalar()))
         return df
@@ -113,8 +112,13 @@ def _to_class(df: DataFrame, raw_code: Column, codes: DataFrame) -> DataFrame:
     """Round half to even, clip to known codes, translate back."""
     top = codes.agg(F.max("__code")).scalar()
     code = F.least(F.greatest(F.rint(raw_code), F.lit(0.0)), top)
-    lookup = codes.select(F.col("__class").alias("predicted"), "__code")
-    return df.withColumn("__c", code).join(lookup, F.col("__c") == F.col("__code"), "left").drop("__c", "__code")
+    names = codes.select(F.col("__class").alias("predicted"), F.col("__code").alias("__c"))
+    return look_up(df.withColumn("__c", code), names, "__c").drop("__c")
+
+
+def _coded(known: DataFrame, target: str, codes: DataFrame) -> DataFrame:
+    """Known rows with the ``__code`` of their class."""
+    return look_up(known, codes.withColumnRenamed("__class", target), target, "inner")
 
 
 class Baseline:
@@ -135,9 +139,9 @@ class KNearest:
     name = "knn"
 
     def fit(self, known, target, predictors, key):
-        self.codes = class_codes(known, target)
+        self.codes = pin(class_codes(known, target), "codes")
         self.encoder = Encoder.fit(known, predictors)
-        coded = known.join(self.codes, F.col(target) == F.col("__class"))
+        coded = _coded(known, target, self.codes)
         self.train = self.encoder.transform(coded).select(
             *self.encoder.axes, "__code", order_key(SEED, F.col(key)).alias("__o")
         )
@@ -152,15 +156,15 @@ class KNearest:
 
 
 class Ridge:
-    """Chained regression with only the target missing is one lightly regularized regression."""
+    """One lightly regularized regression: what chained regression is with only the target missing."""
 
-    name = "mice"
+    name = "ridge"
 
     def fit(self, known, target, predictors, key):
-        self.codes = class_codes(known, target)
+        self.codes = pin(class_codes(known, target), "codes")
         self.encoder = Encoder.fit(known, predictors)
         self.assembler = VectorAssembler(inputCols=self.encoder.axes, outputCol="__x")
-        coded = known.join(self.codes, F.col(target) == F.col("__class"))
+        coded = _coded(known, target, self.codes)
         train = self.assembler.transform(self.encoder.transform(coded)).select("__x", "__code")
         self.model = LinearRegression(
             featuresCol="__x", labelCol="__code", predictionCol="__y", solver="normal", regParam=1e-6
@@ -173,37 +177,40 @@ class Ridge:
 
 
 class Trees:
-    """Tree ensemble; text predictors stay categories while few, shares beyond that."""
+    """Random forest; a text predictor gives its place among the most frequent values and its share.
 
-    name = "trees"
+    The same at every size: ``levels`` values have a place of their own, all
+    others share one and are told apart by their share of the training rows;
+    unseen values and nulls have place and share 0.
+    """
 
-    def __init__(self, trees: int = 60, depth: int = 8, max_levels: int = 64):
-        self.trees, self.depth, self.max_levels = trees, depth, max_levels
+    name = "forest"
+
+    def __init__(self, trees: int = 60, depth: int = 8, levels: int = 60):
+        self.trees, self.depth, self.levels = trees, depth, levels
 
     def fit(self, known, target, predictors, key):
-        self.codes = class_codes(known, target)
+        self.codes = pin(class_codes(known, target), "codes")
         self.encoder = Encoder.fit(known, predictors)
-        text = list(self.encoder.shares)
-        sizes = known.agg(*[F.approx_count_distinct(p).alias(p) for p in text]).first() if text else {}
-        self.indexed = [p for p in text if 0 < sizes[p] <= self.max_levels * 0.75]
-        self.indexer = None
-        if self.indexed:
-            self.indexer = StringIndexer(
-                inputCols=self.indexed, outputCols=[f"i_{p}" for p in self.indexed], handleInvalid="keep"
-            ).fit(known.select(*self.indexed))
-        inputs = [f"i_{p}" if p in self.indexed else f"x_{p}" for p in predictors]
+        self.places = {
+            p: [r["value"] for r in shares.orderBy(F.desc("share"), "value").limit(self.levels).collect()]
+            for p, shares in self.encoder.shares.items()
+        }
+        inputs = [f"i_{p}" for p in self.places] + [f"x_{p}" for p in predictors]
         self.assembler = VectorAssembler(inputCols=inputs, outputCol="__x")
-        coded = known.join(self.codes, F.col(target) == F.col("__class"))
+        coded = _coded(known, target, self.codes)
         self.model = RandomForestClassifier(
             featuresCol="__x", labelCol="__code", predictionCol="__y", numTrees=self.trees,
-            maxDepth=self.depth, maxBins=2 * self.max_levels, seed=SEED,
+            maxDepth=self.depth, maxBins=2 * self.levels, seed=SEED,
         ).fit(self._features(coded).select("__x", "__code"))
         return self
 
     def _features(self, rows: DataFrame) -> DataFrame:
         rows = self.encoder.transform(rows)
-        if self.indexer is not None:
-            rows = self.indexer.transform(rows)
+        for p, values in self.places.items():
+            found = F.array_position(F.array(*map(F.lit, values)).cast("array<string>"), F.col(p))
+            beyond = F.when(F.col(f"x_{p}") > 0, self.levels + 1.0).otherwise(0.0)
+            rows = rows.withColumn(f"i_{p}", F.when(found > 0, found.cast("double")).otherwise(beyond))
         return self.assembler.transform(rows)
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -260,9 +267,9 @@ def fit_group_mode(df: DataFrame, target: str, groups: tuple[str, ...]) -> DataF
 
 def apply_group_mode(df: DataFrame, target: str, groups: tuple[str, ...], modes: DataFrame, overall: DataFrame) -> DataFrame:
     """Own value, else the group's mode, else the overall mode; a null key matches no group."""
-    lookup = modes.select(*groups, F.col("mode").alias("__mode"))
+    named = modes.select(*groups, F.col("mode").alias("__mode"))
     filled = F.coalesce(F.col(target), F.col("__mode"), overall.scalar())
-    return df.join(lookup, list(groups), "left").withColumn(target, filled).select(*df.columns)
+    return look_up(df, named, list(groups)).withColumn(target, filled).select(*df.columns)
 
 
 def fill_group_mode(df: DataFrame, target: str, groups: tuple[str, ...]) -> DataFrame:
@@ -273,7 +280,7 @@ def fill_group_mode(df: DataFrame, target: str, groups: tuple[str, ...]) -> Data
 def group_mode_coverage(df: DataFrame, target: str, groups: tuple[str, ...]) -> DataFrame:
     """missing rows, those whose group has a mode, and their ratio (null when none is missing)."""
     modes = fit_group_mode(df, target, groups).select(*groups, F.lit(1).alias("__hit"))
-    missing = df.filter(F.col(target).isNull()).join(modes, list(groups), "left")
+    missing = look_up(df.filter(F.col(target).isNull()), modes, list(groups))
     return missing.agg(
         F.count(F.lit(1)).alias("missing"), F.count("__hit").alias("group_hits")
     ).withColumn("hit_rate", F.when(F.col("missing") > 0, F.col("group_hits") / F.col("missing")))
@@ -285,8 +292,8 @@ def limitation(coverage: dict) -> str | None:
     if not singles:
         return None
     return (
-        f"{singles}/{total} classes had exactly 1 known example and went to training only; "
-        f"the score covers the {coverage['evaluated_classes']} classes that could be tested"
+        f"untested: {singles} of {total} values occur once and can only be trained on; "
+        f"the score speaks for the other {coverage['evaluated_classes']}"
     )
 
 
@@ -323,13 +330,13 @@ def run_engine(df: DataFrame, key: str = "company_id", strategies: dict | None =
             entry |= more
         elif col in GROUP_MODE:
             groups = GROUP_MODE[col]
-            entry["decision"] = f"group-mode fallback (grouped by {', '.join(groups)})"
+            entry["decision"] = f"most frequent value per {' + '.join(groups)}"
             entry["hit_rate"] = group_mode_coverage(df, col, groups).first()["hit_rate"]
             df = pin(fill_group_mode(df, col, groups), f"fill-{col}")
         elif col in SKIPPED:
-            entry["decision"] = "skipped (left null)"
+            entry["decision"] = "left null on purpose"
         else:
-            entry["decision"] = "UNHANDLED: no strategy configured"
+            entry["decision"] = "left null: nothing set up for this column"
         entries.append(entry)
     fields = [f.split()[0] for f in REPORT.split(", ")]
     rows = [tuple(e.get(f) for f in fields) for e in entries]

@@ -23,6 +23,7 @@ from dqspark.sources.durable import pin
 # --- fixed values ---------------------------------------------------------------
 RULE = "quarantine_classifier"
 THRESHOLD = 0.5
+ROUNDS = 300
 TEST_SHARE = 0.2
 SEED = 42
 MATRIX = (*ROW_FEATURES, "iso_forest_score")
@@ -68,7 +69,7 @@ class QuarantineModel:
         )
 
 
-def fit(train: DataFrame, key: str, rounds: int = 50, trees: int = iforest.TREES, version: str = "1") -> QuarantineModel:
+def fit(train: DataFrame, key: str, rounds: int = ROUNDS, trees: int = iforest.TREES, version: str = "1") -> QuarantineModel:
     """Forest on the training rows only, then class-balanced boosted trees."""
     forest = pin(iforest.fit(train, SHAPE_FEATURES, key, trees), "forest")
     sample = min(iforest.SAMPLE, train.select(key).limit(iforest.SAMPLE).count())
@@ -100,7 +101,7 @@ def evaluate(model: QuarantineModel, test: DataFrame) -> dict:
     }
 
 
-def train(labeled: DataFrame, key: str, rounds: int = 50, trees: int = iforest.TREES) -> tuple[QuarantineModel, dict]:
+def train(labeled: DataFrame, key: str, rounds: int = ROUNDS, trees: int = iforest.TREES) -> tuple[QuarantineModel, dict]:
     """Split by type, fit, evaluate on the held-out fifth."""
     split = pin(stratified_split(labeled, "corruption_type", key, TEST_SHARE, SEED), "labeled")
     model = fit(split.filter(~F.col("is_test")), key, rounds, trees)
@@ -114,8 +115,8 @@ def score_and_route(
     """(kept rows, flagged rows with ``raw`` and ``reasons``).
 
     ``reference`` is the zip table to judge by, learned from the batch when not
-    given.  ``feature_rows`` are the same rows before imputation: the model was
-    trained on rows as they came, so scoring looks at those when it has them.
+    given.  ``feature_rows`` are the same rows before imputation, for a caller who
+    wants them scored as they came.  ``key`` tells rows apart and must be unique.
     """
     source = df if feature_rows is None else feature_rows
     reference = zip3_reference(source) if reference is None else reference

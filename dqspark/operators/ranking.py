@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.hashing import order_key
+from dqspark.operators.lookup import look_up
 
 _BUCKET_DIGITS = 4  # 65,536 hash buckets per group
 
@@ -60,7 +61,7 @@ def stratified_split(
     ).cast("bigint")
     wanted = counts.filter(F.col("__n") >= 2).select(label, quota.alias("n"))
     cuts = nth_by_hash(df, label, wanted, seed, key).drop("n")
-    return df.join(cuts, label, "left").withColumn(
+    return look_up(df, cuts, label).withColumn(
         "is_test", at_or_before(seed, F.col(key), F.col("cut_hash"), F.col("cut_key"))
     ).drop("cut_hash", "cut_key")
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.operators.quarantine import RULE, SEED, TEST_SHARE
+from dqspark.operators.quarantine import ROUNDS, RULE, SEED, TEST_SHARE
 from dqspark.operators.ranking import stratified_split
 
 # --- fixed values ---------------------------------------------------------------
 DECISIONS = ("confirmed_bad", "false_positive")
-QUEUE_LIMIT = 200
+PAGE = 200
 MIN_REVIEWS = 20
 TOLERANCE = 0.01
 HUMAN_KINDS = {"confirmed_bad": "human_confirmed_bad", "false_positive": "human_false_positive"}
@@ -22,11 +22,15 @@ def ml_flag(reasons: Column) -> Column:
     return F.get(F.filter(reasons, lambda r: (r["rule"] == RULE) & r["features"].isNotNull()), F.lit(0))
 
 
-def review_queue(records: DataFrame, reviews: DataFrame, limit: int = QUEUE_LIMIT) -> DataFrame:
-    """Unreviewed records, newest first; the limit counts contract failures, which then drop out."""
+def review_queue(records: DataFrame, reviews: DataFrame, limit: int | None = None) -> DataFrame:
+    """Unreviewed model flags, all of them, or the newest ``limit`` records' for a page (``PAGE``).
+
+    A page is cut before contract failures drop out, so it may hold fewer flags.
+    """
     waiting = records.join(reviews.select(F.col("record_id").alias("id")), "id", "left_anti")
-    top = waiting.orderBy(F.col("quarantined_at").desc(), "id").limit(limit).withColumn("f", ml_flag(F.col("reasons")))
-    return top.filter(F.col("f").isNotNull()).select(
+    if limit is not None:
+        waiting = waiting.orderBy(F.col("quarantined_at").desc(), "id").limit(limit)
+    return waiting.withColumn("f", ml_flag(F.col("reasons"))).filter(F.col("f").isNotNull()).select(
         F.col("id").alias("record_id"), "raw_data", F.col("f.score").alias("score"),
         F.col("f.message").alias("message"), F.col("f.model_version").alias("model_version"),
         F.col("f.features").alias("features"), "quarantined_at",
@@ -73,7 +77,7 @@ def passes_gate(candidate: float, registered: float | None, tolerance: float = T
     return registered is None or candidate >= registered - tolerance
 
 
-def retrain(synthetic: DataFrame, human: DataFrame, key: str, registered_pr_auc: float | None, rounds: int = 50) -> dict:
+def retrain(synthetic: DataFrame, human: DataFrame, key: str, registered_pr_auc: float | None, rounds: int = ROUNDS) -> dict:
     """Fit on both train parts and decide on the synthetic test part.
 
     Both inputs carry ``key``, the sixteen feature columns, ``label`` and

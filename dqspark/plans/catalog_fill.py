@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.functions.tails import chi2_tail
+from dqspark.functions import text as tx
 from dqspark.operators import impute, missing
 from dqspark.plans import companies as co
 from dqspark.plans.sqltext import quote, sql
 from dqspark.sources.durable import pin
-from dqspark.sources.sinks import first_per_key
 
 TEXTS = ("name", "description", "state", "country", "city", "zip_code", "address", "url")
 TARGETS = ("description", "company_size", "state", "country", "city", "zip_code", "address")
@@ -19,11 +18,14 @@ SIZE_PREDICTORS, SIZE_KIND = impute.BENCHMARKED["company_size"]
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return pin(co.cleaned(spark, sf).select("company_id", *TEXTS, "company_size"), "records")
+    """Records to diagnose; a long description travels as its digest, which has the same nulls and equalities."""
+    rows = co.cleaned(spark, sf).withColumn("description", tx.shuffle_key(F.col("description")))
+    return pin(rows.select("company_id", *TEXTS, "company_size"), "records")
 
 
-def _seq_records(spark: SparkSession, sf: str) -> DataFrame:
-    return pin(co.cleaned(spark, sf).withColumnRenamed("_seq", "seq"), "records")
+def _seq_records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The asked columns of the records, written once."""
+    return pin(co.cleaned(spark, sf).select(F.col("_seq").alias("seq"), *columns), "records")
 
 
 def missing_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,26 +47,26 @@ def missing_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def impute_median(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _seq_records(spark, sf)
+    rows = _seq_records(spark, sf, "company_size")
     fill = impute.median_of(rows, "company_size").scalar()
     return rows.select("seq", F.coalesce("company_size", fill).alias("company_size"))
 
 
 def impute_mode(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _seq_records(spark, sf)
+    rows = _seq_records(spark, sf, "country")
     fill = impute.mode_of(rows, "country").scalar()
     return rows.select("seq", F.coalesce("country", fill).alias("country"))
 
 
 def freq_encode(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _seq_records(spark, sf)
+    rows = _seq_records(spark, sf, "state", "country", "city", "company_id", "company_size")
     encoder = impute.Encoder.fit(rows.filter(F.col("company_size").isNotNull()), ("state", "country", "city", "company_id"))
     return encoder.transform(rows).select("seq", *[F.round(a, 9).alias(a) for a in encoder.axes])
 
 
 def _strategy(strategy, spark: SparkSession, sf: str, target: str = "company_size") -> DataFrame:
     predictors, _ = impute.BENCHMARKED[target]
-    rows = pin(_seq_records(spark, sf).select("seq", target, *predictors), "rows")
+    rows = _seq_records(spark, sf, target, *predictors)
     known, holes = rows.filter(F.col(target).isNotNull()), rows.filter(F.col(target).isNull())
     fitted = strategy.fit(known, target, predictors, "seq")
     return fitted.predict(holes).select("seq", F.col("predicted").alias(target))
@@ -83,7 +85,7 @@ def impute_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def impute_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pin(_seq_records(spark, sf).select("seq", "company_size", *SIZE_PREDICTORS), "rows")
+    rows = _seq_records(spark, sf, "company_size", *SIZE_PREDICTORS)
     known = rows.filter(F.col("company_size").isNotNull())
     result = impute.benchmark(known, "company_size", SIZE_PREDICTORS, SIZE_KIND, "seq")
     scores = [(k, float(v), k == result["winner"]) for k, v in result["scores"].items()]
@@ -95,7 +97,7 @@ def impute_baselines(spark: SparkSession, sf: str) -> DataFrame:
     from dqspark.operators.metrics import macro_f1
     from dqspark.operators.ranking import stratified_split
 
-    rows = _seq_records(spark, sf)
+    rows = _seq_records(spark, sf, "company_size", "country")
     out = None
     for target, name in (("company_size", "median"), ("country", "mode")):
         known = rows.filter(F.col(target).isNotNull()).select("seq", target)
@@ -108,7 +110,7 @@ def impute_baselines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _seq_records(spark, sf)
+    rows = _seq_records(spark, sf, "company_size", "country", "city", "zip_code", "name")
     parts = [
         impute.class_coverage(rows, c).select(F.lit(c).alias("column"), "*")
         for c in ("company_size", "country", "city", "zip_code", "name")
@@ -120,15 +122,15 @@ def class_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def group_mode_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.fit_group_mode(_seq_records(spark, sf), "zip_code", ("state", "country"))
+    return impute.fit_group_mode(_seq_records(spark, sf, "zip_code", "state", "country"), "zip_code", ("state", "country"))
 
 
 def group_mode_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.fill_group_mode(_seq_records(spark, sf).select("seq", "state", "country"), "state", ("country",))
+    return impute.fill_group_mode(_seq_records(spark, sf, "state", "country"), "state", ("country",))
 
 
 def group_mode_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _seq_records(spark, sf)
+    rows = _seq_records(spark, sf, "state", "country", "city", "zip_code")
     parts = [
         impute.group_mode_coverage(rows, c, g).select(F.lit(c).alias("column"), "*")
         for c, g in impute.GROUP_MODE.items()
@@ -137,7 +139,7 @@ def group_mode_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def impute_geo_chain(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pin(_seq_records(spark, sf).select("seq", "state", "country", "city", "zip_code"), "geo")
+    rows = _seq_records(spark, sf, "state", "country", "city", "zip_code")
     for target, groups in impute.GROUP_MODE.items():
         rows = pin(impute.fill_group_mode(rows, target, groups), f"geo-{target}")
     return rows
@@ -145,8 +147,7 @@ def impute_geo_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 def impute_engine(spark: SparkSession, sf: str) -> DataFrame:
     """The report of the whole engine over the cleaned records."""
-    first = first_per_key(co.cleaned(spark, sf), "company_id").drop("_seq")
-    _, report = impute.run_engine(pin(first, "engine"))
+    _, report = impute.run_engine(_records(spark, sf))
     return report
 
 
@@ -198,16 +199,14 @@ SELECT target, predictor, sum({_part('m', 'ms')} + {_part('(n - m)', '(rows - ms
 FROM tables WHERE k BETWEEN 2 AND 50 AND ms BETWEEN 1 AND rows - 1 GROUP BY target, predictor"""
 
 
-def _critical(df: int) -> float:
-    """Chi-square value whose tail is 0.05, by bisection."""
-    low, high = 0.0, 200.0
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if chi2_tail(mid, df) > missing.ALPHA else (low, mid)
-    return high
-
-
-_CRIT = "SELECT * FROM (VALUES " + ", ".join(f"({d}, {_critical(d)!r})" for d in range(1, 50)) + ") AS c(df, bound)"
+# Upper 5% points of chi-square for 1 to 49 degrees of freedom, from printed tables.
+CHI2_95 = (
+    3.841, 5.991, 7.815, 9.488, 11.070, 12.592, 14.067, 15.507, 16.919, 18.307, 19.675, 21.026, 22.362, 23.685, 24.996,
+    26.296, 27.587, 28.869, 30.144, 31.410, 32.671, 33.924, 35.172, 36.415, 37.652, 38.885, 40.113, 41.337, 42.557, 43.773,
+    44.985, 46.194, 47.400, 48.602, 49.802, 50.998, 52.192, 53.384, 54.572, 55.758, 56.942, 58.124, 59.304, 60.481, 61.656,
+    62.830, 64.001, 65.171, 66.339,
+)
+_CRIT = "SELECT * FROM (VALUES " + ", ".join(f"({d}, {x})" for d, x in enumerate(CHI2_95, 1)) + ") AS c(df, bound)"
 # 97.5% point of Student's t from the normal one, to 1/v^2
 _T = "(1.959963984540054 + (1.959963984540054 ^ 3 + 1.959963984540054) / (4 * (n - 2)) + (5 * 1.959963984540054 ^ 5 + 16 * 1.959963984540054 ^ 3 + 3 * 1.959963984540054) / (96 * (n - 2) ^ 2))"
 _FOUND = f"""

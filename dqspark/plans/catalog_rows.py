@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.operators import clean, contract
+from dqspark.operators import clean, contract, impute
 from dqspark.operators.contract import COMPANY, Contract, Field
 from dqspark.plans import companies as co
+from dqspark.plans import run
 from dqspark.plans.run import stage_counts
 from dqspark.plans.sqltext import BUSINESS, normalize, sql
+from dqspark.sources.durable import pin, shared_folder
 from dqspark.sources.sinks import quarantine_records, upsert_absent
 
 LOOSE = Contract(
@@ -50,7 +54,7 @@ def sentinel_to_null(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(c).alias("column"), contract.sentinel_to_null(F.col(c), ("0",)).alias("value"))
         for c in ("state", "country")
     ]))
-    return co.feed(spark, sf).select(cells.alias("c")).groupBy("c.column", "c.value").agg(
+    return co.feed(spark, sf, "state", "country").select(cells.alias("c")).groupBy("c.column", "c.value").agg(
         F.count(F.lit(1)).alias("rows")
     )
 
@@ -86,7 +90,7 @@ def clean_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
     existing = co.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("company_id"))
-    return upsert_absent(existing, co.cleaned(spark, sf), "company_id").withColumnRenamed("_seq", "seq")
+    return upsert_absent(existing, pin(co.cleaned(spark, sf), "cleaned"), "company_id").withColumnRenamed("_seq", "seq")
 
 
 def quarantine_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,6 +109,15 @@ def pipeline_report(spark: SparkSession, sf: str) -> DataFrame:
     return stage_counts(co.annotated(spark, sf))
 
 
+def run_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole batch into new tables: every row that came in is counted once."""
+    folder = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
+    plain = {"company_size": [impute.Baseline("median")], "country": [impute.Baseline("mode")]}
+    report = run.run_batch(co.feed(spark, sf), f"{folder}/clean", f"{folder}/quarantine", strategies=plain)
+    names = ("ingested", "written_clean", "written_quarantine", "duplicates_removed", "key_conflict")
+    return spark.createDataFrame([tuple(int(report[n]) for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
 QUERIES = {
     "contract_validate": contract_validate,
     "contract_reasons": contract_reasons,
@@ -120,6 +133,7 @@ QUERIES = {
     "upsert_absent": upsert,
     "quarantine_rows": quarantine_rows,
     "pipeline_report": pipeline_report,
+    "run_batch": run_batch,
 }
 
 _FAILS = "(CASE WHEN e_id IS NULL THEN 0 ELSE 1 END + CASE WHEN e_size IS NULL THEN 0 ELSE 1 END + CASE WHEN e_url IS NULL THEN 0 ELSE 1 END)"
@@ -169,4 +183,9 @@ ORACLE = {
         written_clean, cleaned - written_clean AS key_conflict, ingested - passed AS written_quarantine FROM (
         SELECT (SELECT count(*) FROM fx) AS ingested, (SELECT count(*) FROM rec) AS passed,
         (SELECT count(*) FROM cln) AS cleaned, (SELECT count(DISTINCT company_id) FROM cln) AS written_clean)"""),
+    "run_batch": sql(
+        """SELECT (SELECT count(*) FROM fx) AS ingested, (SELECT count(DISTINCT company_id) FROM cln) AS written_clean,
+        (SELECT count(*) FROM fx) - (SELECT count(*) FROM rec) AS written_quarantine,
+        (SELECT count(*) FROM rec) - (SELECT count(*) FROM cln) AS duplicates_removed,
+        (SELECT count(*) FROM cln) - (SELECT count(DISTINCT company_id) FROM cln) AS key_conflict"""),
 }

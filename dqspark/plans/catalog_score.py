@@ -19,13 +19,18 @@ TREES, ROUNDS = 100, 20
 
 def _first(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned records, one per key, written once because every query here reads them repeatedly."""
-    return pin(first_per_key(co.cleaned(spark, sf), "company_id"), "first")
+    return pin(first_per_key(_rows(spark, sf), "company_id"), "first")
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
     return pin(co.cleaned(spark, sf), "rows")
 
 
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    """What the zip operators read."""
+    return pin(co.cleaned(spark, sf).select("_seq", "company_id", "state", "country", "zip_code"), "places")
+
+
 def zip3_rows(spark: SparkSession, sf: str) -> DataFrame:
     return zip3.us_rows(co.cleaned(spark, sf)).select(F.col("_seq").alias("seq"), "zip3", "state_clean")
 
@@ -35,17 +40,17 @@ def zip3_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zip3_pool(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, sf)
+    rows = _places(spark, sf)
     return zip3.zip3_pool(rows, zip3.zip3_reference(rows))
 
 
 def zip3_eligible(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, sf)
+    rows = _places(spark, sf)
     return zip3.eligible_rows(rows, zip3.zip3_reference(rows)).select(F.col("_seq").alias("seq"), "zip3", "state_clean")
 
 
 def zip3_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rows(spark, sf)
+    rows = _places(spark, sf)
     return zip3.consistency(rows, zip3.zip3_reference(rows)).withColumn("rate", F.round("rate", 6))
 
 
@@ -77,7 +82,7 @@ def corrupt_nulls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corrupt_zip(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _first(spark, sf)
+    rows = first_per_key(_places(spark, sf), "company_id")
     reference = zip3.zip3_reference(rows)
     eligible = zip3.eligible_rows(rows, reference)
     swapped = augment.damage_zip(eligible, "company_id", reference, zip3.zip3_pool(rows, reference))

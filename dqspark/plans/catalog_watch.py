@@ -26,25 +26,25 @@ def _orders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _feed_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(baseline, batch) of the raw feed: cut by a hash of the row number."""
-    feed = co.feed(spark, sf)
+    feed = co.feed(spark, sf, "_seq", "company_size", "state", "description")
     batch = F.substring(F.md5(F.col("_seq").cast("string")), 1, 1) < "5"
     return feed.filter(~batch), feed.filter(batch)
 
 
 def value_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.value_counts(co.feed(spark, sf), "company_size")
+    return drift.value_counts(co.feed(spark, sf, "company_size"), "company_size")
 
 
 def null_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.null_buckets(co.feed(spark, sf), "state")
+    return drift.null_buckets(co.feed(spark, sf, "state"), "state")
 
 
 def length_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.length_histogram(co.feed(spark, sf), "description")
+    return drift.length_histogram(co.feed(spark, sf, "description"), "description")
 
 
 def drift_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.build_profile(co.feed(spark, sf))
+    return drift.build_profile(co.feed(spark, sf, "company_size", "state", "description"))
 
 
 def psi(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +180,7 @@ def name_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_variance(spark: SparkSession, sf: str) -> DataFrame:
-    return collide.name_variance(co.feed(spark, sf), "company_id", "name")
+    return collide.name_variance(co.feed(spark, sf, "company_id", "name"), "company_id", "name")
 
 
 def repeat_groups(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,19 +40,32 @@ FROM (
   SELECT c_custkey AS k, c_name, c_nationkey, 1 AS copy_of FROM {{customer}} WHERE c_custkey % 40 = 0
 ) c
 JOIN (SELECT n_nationkey AS nk, n_regionkey AS rk FROM {{nation}}) n ON c.c_nationkey = n.nk
-LEFT JOIN {{documents}} d ON d.doc_id = c.k AND c.k % 9 <> 0
+LEFT JOIN {{documents}} d ON d.doc_id = c.k
 LEFT JOIN {{pages}} p ON p.page_id = c.k
 """
+#: What a column needs beyond customer and nation: its table, its join, and what stands for it without the join.
+OPTIONAL_JOINS = {
+    "description": ("documents", "LEFT JOIN {documents} d ON d.doc_id = c.k", "d.text", "CAST(NULL AS STRING)"),
+    "url": ("pages", "LEFT JOIN {pages} p ON p.page_id = c.k", "p.url", "CAST(NULL AS STRING)"),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw feed: ``_seq`` and ten text columns."""
-    names = ("customer", "nation", "documents", "pages")
-    return spark.sql(FEED_SQL, **{n: table(spark, sf_dir, n) for n in names})
+def feed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The raw feed: ``_seq`` and ten text columns, or the given ones without the joins they do not need."""
+    text, names = FEED_SQL, ["customer", "nation"]
+    for column, (name, join, value, instead) in OPTIONAL_JOINS.items():
+        if columns and column not in columns:
+            text = text.replace(join, "").replace(value, instead)
+        else:
+            names.append(name)
+    if "{documents}" not in text:
+        text = text.replace("/*+ MERGE(d) */", "")
+    rows = spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+    return rows.select(*columns) if columns else rows
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def first_per_key(df: DataFrame, key: str, seq: str = SEQ) -> DataFrame:
-    """First row of each key in ingest order; copies of one key combine before the shuffle."""
-    others = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*others), seq).alias("r")).select(key, "r.*").select(*df.columns)
+    """First row of each key in ingest order; ``seq`` is unique within a key, keys are not null.
+
+    Only keys and places are grouped, so no task sorts whole rows.  ``df`` is read
+    twice: hand over a written table.
+    """
+    first = df.groupBy(key).agg(F.min(seq).alias(seq))
+    return df.join(first, [key, seq], "left_semi").select(*df.columns)
 
 
 def upsert_absent(existing: DataFrame | None, incoming: DataFrame, key: str, seq: str = SEQ) -> DataFrame:
@@ -35,7 +39,7 @@ def write_clean(records: DataFrame, path: str, key: str = "company_id", small: t
     spark = records.sparkSession
     if SEQ not in records.columns:
         records = records.withColumn(SEQ, F.monotonically_increasing_id())
-    new = upsert_absent(read_table(spark, path), records, key).drop(SEQ)
+    new = upsert_absent(read_table(spark, path), pin(records, "records"), key).drop(SEQ)
     new = new.withColumns({c: F.col(c).cast("smallint") for c in small if c in new.columns})
     batch = pin(new.withColumn("loaded_at", F.current_timestamp()), "clean")
     written = batch.count()
@@ -75,7 +79,8 @@ def write_quarantine(rejected: DataFrame, path: str) -> int:
 def new_reviews(existing: DataFrame | None, submitted: DataFrame) -> DataFrame:
     """Submitted reviews that count: valid decision, first per record, record not reviewed yet."""
     valid = submitted.filter(F.col("decision").isin(*DECISIONS))
-    return upsert_absent(existing, valid, "record_id", "reviewed_at")
+    # two decisions may carry one time: any one of them counts
+    return upsert_absent(existing, valid, "record_id", "reviewed_at").dropDuplicates(["record_id"])
 
 
 def submit_review(spark: SparkSession, path: str, record_id: int, decision: str) -> bool:

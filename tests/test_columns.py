@@ -112,9 +112,10 @@ def test_spec_comments_and_low_confidence(spark):
         spec(spark, "nonsense", ["a"])
 
 
-def test_names_are_made_usable():
-    got = infer.sanitize(["company size!", "a-b", "a.b", "class", "1x", ""])
-    assert list(got.values()) == ["company_size_", "a_b", "a_b_2", "class_", "col_1x", "col_"]
+def test_names_are_made_usable(spark):
+    got = infer.sanitize(spark, ["company size!", "a-b", "a.b", "class", "1x", "", "größe m²", "a b", "a_b_3"])
+    assert list(got.values()) == ["company_size_", "a_b", "a_b_2", "class_", "col_1x", "col_", "größe_m_", "a_b_4", "a_b_3"]
+    assert infer.sanitize(spark, []) == {}
 
 
 def test_inferred_contract_applies_to_its_rows(spark):

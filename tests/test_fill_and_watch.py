@@ -7,13 +7,20 @@ from dqspark.functions import tails
 from dqspark.operators import collide, drift, impute, missing, neighbors, quarantine, report, review
 
 
-def test_tails_against_known_values():
-    assert tails.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
-    assert tails.chi2_tail(18.307038053275146, 10) == pytest.approx(0.05, abs=1e-9)
-    assert tails.chi2_tail(100.0, 3) == pytest.approx(1.5530e-21, rel=1e-3)
-    assert tails.t_two_sided(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-9)
-    assert tails.t_two_sided(1.0, 1) == pytest.approx(0.5, abs=1e-9)
-    assert tails.t_two_sided(0.0, 5) == 1.0
+def test_tails_against_known_values(spark):
+    known = [(3.841458820694124, 1.0, 0.05), (18.307038053275146, 10.0, 0.05), (100.0, 3.0, 1.5530e-21), (0.0, 4.0, 1.0), (-1.0, 2.0, 1.0)]
+    for r in spark.createDataFrame(known, "x double, d double, p double").select("p", tails.chi2_p("x", "d").alias("q")).collect():
+        assert r["q"] == pytest.approx(r["p"], rel=1e-3)
+    known = [(2.2281388519649385, 10.0, 0.05), (1.0, 1.0, 0.5), (0.0, 5.0, 1.0), (float("inf"), 5.0, 0.0), (1.0, 0.0, None), (float("nan"), 3.0, None)]
+    for r in spark.createDataFrame(known, "x double, d double, p double").select("p", tails.t_p(F.col("x"), F.col("d")).alias("q")).collect():
+        assert r["q"] == (None if r["p"] is None else pytest.approx(r["p"], abs=1e-9))
+
+
+def test_skipped_predictors_are_listed(spark):
+    df = spark.createDataFrame([(f"v{i}", "one", "ab"[i % 2]) for i in range(60)], "many string, one string, two string")
+    got = {r["predictor"]: r["reason"] for r in missing.skipped_predictors(df).collect()}
+    assert got == {"many": "more than 50 values", "one": "fewer than two values"}
+    assert missing.skipped_predictors(df, 60).count() == 1
 
 
 @pytest.mark.parametrize("dims,rows,seed", [(1, 60, 1), (3, 400, 2), (4, 300, 3)])
@@ -62,7 +69,7 @@ def test_benchmark_prefers_signal_over_the_baseline(spark):
     # both regions are equally frequent, so only the trees can tell them apart
     strategies = [impute.Baseline("median"), impute.Ridge(), impute.Trees(trees=5, depth=3)]
     result = impute.benchmark(df, "code", ("region",), "ordinal", "id", strategies)
-    assert result["winner"] == "trees" and result["scores"]["trees"] == 1.0
+    assert result["winner"] == "forest" and result["scores"]["forest"] == 1.0
     assert result["class_coverage"]["singleton_classes"] == 0 and impute.limitation(result["class_coverage"]) is None
 
 
@@ -121,7 +128,7 @@ def test_only_model_flags_with_features_are_reviewable(spark):
 def test_caveat_and_empty_run(spark):
     df = spark.createDataFrame([(0, 5), (2, 5)], "s bigint, e bigint")
     got = [r[0] for r in df.select(report.coverage_caveat(F.col("s"), F.col("e"))).collect()]
-    assert got[0] is None and got[1].startswith("2/7 classes")
+    assert got[0] is None and got[1].startswith("untested: 2 of 7 values")
     empty = spark.createDataFrame([], "loaded_at timestamp, quarantined_at timestamp")
     assert report.latest_run(empty, empty).count() == 0
 

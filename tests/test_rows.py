@@ -50,6 +50,36 @@ def test_batch_from_file_to_tables(spark, tmp_path):
     assert row["name"] == "Acme Corp" and dict(spark.read.parquet(clean_path).dtypes)["company_size"] == "smallint"
 
 
+class NameModel:
+    """Flags rows whose name is Bad."""
+
+    version, threshold = "9", 0.5
+
+    def score(self, df):
+        return df.withColumn("score", F.when(F.col("name") == "Bad", 1.0).otherwise(0.0))
+
+
+def test_a_flagged_first_row_does_not_take_its_key(spark, company, tmp_path):
+    from dqspark.plans.run import run_batch
+
+    rows = company({"name": "Bad"}, {"name": "Good"}, {"company_id": "2"}, {"company_id": "2", "name": "Later"},
+                   {"company_id": "2"}, {"company_id": "x"})
+    report = run_batch(rows, str(tmp_path / "c"), str(tmp_path / "q"), NameModel())
+    got = {r["company_id"]: r["name"] for r in spark.read.parquet(str(tmp_path / "c")).collect()}
+    assert got == {1: "Good", 2: "Acme"}
+    assert (report["ml_flagged"], report["key_conflict"], report["duplicates_removed"]) == (1, 1, 1)
+    assert report["ingested"] == sum(report[k] for k in ("written_clean", "written_quarantine", "duplicates_removed", "key_conflict"))
+
+
+def test_lookup_is_the_same_beyond_the_limit(spark):
+    from dqspark.operators.lookup import look_up
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 5) for i in range(40)], "id int, k int")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(4)], "k int, v string")
+    small, large = (sorted(map(tuple, look_up(df, table, "k", limit=n).select("id", "k", "v").collect()), key=str) for n in (10, 0))
+    assert small == large and len(small) == 40
+
+
 def test_dedup_keeps_the_first_and_merges_nulls(spark):
     df = spark.createDataFrame([(3, "a", None), (1, "a", None), (2, "b", 1), (5, "b ", 1)], "_seq bigint, x string, y int")
     got = {(r["_seq"], r["x"]) for r in clean.remove_exact_duplicates(df).collect()}
