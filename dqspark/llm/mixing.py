@@ -11,9 +11,10 @@ only when the whole family is full: shortages move among siblings before ancesto
 
 A leaf's budget is whole epochs of its documents plus a prefix of one more.  The order of
 the last epoch is the MD5 of (seed, epoch, doc_id); the document in which the budget ends
-gives its first tokens only.  The prefix is found in two steps: tokens of 65,536 hash
-buckets a leaf are summed first, and only the bucket in which the budget ends is sorted,
-so a leaf with a third of all rows is never brought to one task.
+gives its first tokens only.  The prefix is found in rounds: tokens of 256 hash buckets a
+leaf are summed, and only the bucket in which the budget ends goes on to the next round,
+so a leaf with a third of all rows is never brought to one task; what is sorted at the end
+is a 16-millionth of it.
 
 Tokens are words.  Documents without words are left out.  Null languages and sources count
 as the empty name, null ids as the empty id.  Rows with equal id and size are ordered
@@ -31,6 +32,8 @@ LEVELS = ("domain", "lang", "source")
 BUDGET_SHARE = (3, 5)
 MAX_EPOCHS = 3
 SEED = 17
+#: Hash digits a round, and rounds, in the search for the end of a budget.
+DIGITS, ROUNDS = 2, 3
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,18 +114,38 @@ def mix(
     )
     key = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("full").cast("string"),
                             F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    last = pin(with_plan.filter("rest > 0").withColumn("key", key).withColumn("bucket", F.substring("key", 1, 4)), "last-epoch")
-    sums = last.groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("in_bucket"))
-    before = F.sum("in_bucket").over(Window.partitionBy(*leaf).orderBy("bucket")) - F.col("in_bucket")
-    reached = sums.withColumn("before", before).join(plan.select(*leaf, "rest"), leaf).filter("before < rest").drop("rest")
-    begun = last.join(reached, [*leaf, "bucket"])
-    inside = begun.filter(F.col("before") + F.col("in_bucket") <= F.col("rest")).withColumn("taken", F.col("tokens"))
-    order = Window.partitionBy(*leaf, "bucket").orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = begun.filter(F.col("before") + F.col("in_bucket") > F.col("rest")).withColumn(
-        "taken", F.least("tokens", F.col("rest") - F.col("before") - F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    ).filter("taken > 0")
     out = ["doc_id", *leaf, F.col("full").alias("epoch"), "tokens", "taken"]
-    return whole.unionAll(inside.select(*out)).unionAll(edge.select(*out))
+    at_edge = pin(with_plan.filter("rest > 0").withColumns({"key": key, "base": F.lit(0).cast("long")}), "last-epoch")
+    parts = []
+    for i in range(ROUNDS):
+        inside, at_edge = split_at(at_edge, leaf, F.substring("key", DIGITS * i + 1, DIGITS))
+        parts.append(inside)
+        at_edge = pin(at_edge, "edge")
+    order = Window.partitionBy(*leaf).orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("base") - F.coalesce(F.sum("tokens").over(order), F.lit(0))
+    edge = at_edge.withColumn("taken", F.least("tokens", left)).filter("taken > 0")
+    for part in (*parts, edge):
+        whole = whole.unionAll(part.select(*out))
+    return whole
+
+
+def split_at(rows: DataFrame, leaf: list[str], bucket: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of the buckets that lie inside each leaf's ``rest``, and those of the one in which it ends.
+
+    ``base`` is what came before the given rows of a leaf; a leaf has at most
+    16 ** DIGITS buckets, each summed before the shuffle.
+    """
+    placed = rows.withColumn("bucket", bucket)
+    sums = placed.groupBy(*leaf, "bucket").agg(
+        F.sum("tokens").alias("inside"), F.max("base").alias("base"), F.max("rest").alias("rest")
+    )
+    start = F.col("base") + F.sum("inside").over(Window.partitionBy(*leaf).orderBy("bucket")) - F.col("inside")
+    reached = sums.withColumn("start", start).filter("start < rest").select(*leaf, "bucket", "start", "inside")
+    begun = placed.drop("base").join(reached, [*leaf, "bucket"])
+    fits = F.col("start") + F.col("inside") <= F.col("rest")
+    return begun.filter(fits).withColumn("taken", F.col("tokens")), begun.filter(~fits).withColumn("base", F.col("start")).drop(
+        "start", "inside", "bucket"
+    )
 
 
 def _level(depth: int) -> str:
