@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.functions.tails import kolmogorov_p
-from dqspark.operators.ranking import running_sums
+from dqspark.operators.ranking import running_sums, sample_exact_n
 from dqspark.sources.durable import pin
 
 # --- fixed values ---------------------------------------------------------------
@@ -157,6 +157,20 @@ def drift_status(report: DataFrame) -> DataFrame:
     return report.orderBy(F.col("value").desc(), "metric")
 
 
+def draw_batches(
+    df: DataFrame, key: str, baseline: int = BASELINE_ROWS, batch: int = BATCH_ROWS, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """(baseline, batch): two exact, disjoint samples by hash of the key (all rows, then none, when there are fewer)."""
+    first = pin(sample_exact_n(df, key, baseline, seed), "baseline")
+    rest = df.join(first.select(key), key, "left_anti").select(*df.columns)
+    return first, sample_exact_n(rest, key, batch, seed + 1)
+
+
+def save_report(report: DataFrame, path: str) -> None:
+    """Write the report of ``check_drift``; ``load_profile`` reads either table."""
+    report.write.mode("overwrite").parquet(path)
+
+
 def save_profile(profile: DataFrame, path: str) -> None:
     profile.write.mode("overwrite").parquet(path)
 

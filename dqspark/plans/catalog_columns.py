@@ -10,6 +10,7 @@ from dqspark.operators import coltype, contract, fingerprint, infer, metrics, ra
 from dqspark.operators.contract import COMPANY
 from dqspark.plans import companies as co
 from dqspark.plans.sqltext import count_of, matches, quote, sql, strip
+from dqspark.sources.durable import pin
 
 # the true type of each column of the given tables, as read by a person
 COLUMN_LABELS = {
@@ -86,8 +87,6 @@ def _labeled(spark: SparkSession, sf: str) -> DataFrame:
 
 def column_types(spark: SparkSession, sf: str) -> DataFrame:
     """Train on labeled columns, report prediction and distribution of the held-out ones."""
-    from dqspark.sources.durable import pin
-
     _, held_out, _ = coltype.evaluate(pin(_labeled(spark, sf), "prints"))
     return held_out
 
@@ -135,7 +134,7 @@ def contract_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def observed_values(spark: SparkSession, sf: str) -> DataFrame:
     feed = co.feed(spark, sf).drop("_seq")
-    listed = infer.observed_values(feed, infer.profile(feed))
+    listed = infer.observed_values(feed, pin(infer.profile(feed), "profile"))
     return listed.select("column", F.posexplode("observed").alias("position", "value")).withColumn(
         "position", F.col("position").cast("bigint")
     )
@@ -148,7 +147,7 @@ def _predictions(spark: SparkSession) -> DataFrame:
 
 def field_specs(spark: SparkSession, sf: str) -> DataFrame:
     feed = co.feed(spark, sf).drop("_seq")
-    profiled = infer.profile(feed)
+    profiled = pin(infer.profile(feed), "profile")
     specs = infer.field_specs(profiled, infer.observed_values(feed, profiled), _predictions(spark))
     return specs.select(
         "column", "predicted_type", "python_type", "required",
@@ -159,7 +158,7 @@ def field_specs(spark: SparkSession, sf: str) -> DataFrame:
 
 def contract_summary(spark: SparkSession, sf: str) -> DataFrame:
     feed = co.feed(spark, sf).drop("_seq")
-    profiled = infer.profile(feed)
+    profiled = pin(infer.profile(feed), "profile")
     return infer.summary(infer.field_specs(profiled, infer.observed_values(feed, profiled), _predictions(spark)))
 
 

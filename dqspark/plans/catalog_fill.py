@@ -84,6 +84,29 @@ def impute_trees(spark: SparkSession, sf: str) -> DataFrame:
     return _strategy(impute.Trees(), spark, sf)
 
 
+def impute_learned_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows each learned strategy fills, and how many of them with a known class."""
+    rows = _seq_records(spark, sf, "company_size", *SIZE_PREDICTORS)
+    known, holes = rows.filter(F.col("company_size").isNotNull()), rows.filter(F.col("company_size").isNull())
+    classes = known.select(F.col("company_size").alias("predicted")).distinct().withColumn("is_known", F.lit(True))
+    out = None
+    for strategy in (impute.KNearest(), impute.Ridge(), impute.Trees(trees=20, depth=5)):
+        filled = strategy.fit(known, "company_size", SIZE_PREDICTORS, "seq").predict(holes)
+        part = filled.join(F.broadcast(classes), "predicted", "left").agg(
+            F.lit(strategy.name).alias("strategy"), F.count(F.lit(1)).alias("rows"), F.count_if("is_known").alias("known"),
+            F.countDistinct("seq").alias("keys"),
+        )
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def engine_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """What the engine decides for each column, with the baselines as strategies."""
+    plain = {"company_size": [impute.Baseline("median")], "country": [impute.Baseline("mode")]}
+    _, report = impute.run_engine(_records(spark, sf), "company_id", plain)
+    return report.select("column", "decision", "missing_count", "diagnosis", "winner")
+
+
 def impute_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     rows = _seq_records(spark, sf, "company_size", *SIZE_PREDICTORS)
     known = rows.filter(F.col("company_size").isNotNull())
@@ -170,6 +193,8 @@ QUERIES = {
     "impute_trees": impute_trees,
     "impute_benchmark": impute_benchmark,
     "impute_engine": impute_engine,
+    "impute_learned_rows": impute_learned_rows,
+    "engine_decisions": engine_decisions,
 }
 
 _PAIRS = [(t, p) for p in NUMBERS for t in TARGETS if t != p]
@@ -271,6 +296,18 @@ ORACLE = {
         f"""SELECT "column", missing_count, CASE WHEN "column" IN (SELECT target FROM found) THEN {quote(missing.MAR)}
         ELSE {quote(missing.MCAR)} END AS verdict FROM h WHERE missing_count > 0""",
         cells=_CELLS, tables=_TABLES, chi=_CHI2, num=_NUMERIC, crit=_CRIT, found=_FOUND, h=_HOLES),
+    "impute_learned_rows": sql(" UNION ALL ".join(
+        f"SELECT '{s}' AS strategy, count(*) AS rows, count(*) AS known, count(DISTINCT _seq) AS keys FROM cln WHERE company_size IS NULL"
+        for s in ("knn", "ridge", "forest"))),
+    "engine_decisions": sql(
+        f"""SELECT "column", CASE WHEN "column" IN ('company_size', 'country') THEN 'benchmarked'
+        WHEN "column" IN ('description', 'address') THEN 'left null on purpose' WHEN "column" = 'state' THEN 'most frequent value per country'
+        WHEN "column" IN ('city', 'zip_code') THEN 'most frequent value per state + country'
+        ELSE 'left null: nothing set up for this column' END AS decision, missing_count,
+        CASE WHEN "column" IN (SELECT target FROM found) THEN {quote(missing.MAR)} ELSE {quote(missing.MCAR)} END AS diagnosis,
+        CASE "column" WHEN 'company_size' THEN 'median' WHEN 'country' THEN 'mode' END AS winner
+        FROM h WHERE missing_count > 0""",
+        cells=_CELLS, tables=_TABLES, chi=_CHI2, num=_NUMERIC, crit=_CRIT, found=_FOUND, h=_HOLES),
     "impute_median": sql(
         """SELECT _seq AS seq, coalesce(company_size, (SELECT CAST(round_even(median(company_size), 0) AS BIGINT) FROM cln))
         AS company_size FROM cln"""),

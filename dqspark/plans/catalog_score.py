@@ -168,6 +168,16 @@ def score_and_route(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def route_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row comes out of the routing once: rows and keys of both sides together."""
+    first = _first(spark, sf)
+    labeled = augment.labeled_dataset(first, "company_id", SHARE)
+    model, _ = quarantine.train(labeled, "company_id", 3, 20)
+    kept, flagged = quarantine.score_and_route(first, model)
+    both = kept.select("company_id").unionAll(flagged.select("raw.company_id"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("company_id").alias("keys"))
+
+
 QUERIES = {
     "zip3_rows": zip3_rows,
     "zip3_reference": zip3_reference,
@@ -190,6 +200,7 @@ QUERIES = {
     "anomaly_score": anomaly_score,
     "quarantine_model": quarantine_model,
     "score_and_route": score_and_route,
+    "route_rows": route_rows,
 }
 
 _D = "coalesce(t.description, '')"
@@ -291,6 +302,7 @@ ORACLE = {
     "row_quality_features": sql(
         "SELECT t._seq AS seq, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _FEATURES.items())
         + " FROM cln t LEFT JOIN us u ON t._seq = u._seq LEFT JOIN ref r ON u.zip3 = r.zip3", "ref"),
+    "route_rows": sql("SELECT count(DISTINCT company_id) AS rows, count(DISTINCT company_id) AS keys FROM cln"),
     "sample_exact_n": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey::VARCHAR), o_orderkey LIMIT 12000",
     "corrupt_encoding": sql(
         """SELECT company_id, CASE WHEN use_d THEN name ELSE bad END AS name, CASE WHEN use_d THEN bad ELSE description END AS description FROM e8""",

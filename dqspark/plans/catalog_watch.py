@@ -47,6 +47,14 @@ def drift_profile(spark: SparkSession, sf: str) -> DataFrame:
     return drift.build_profile(co.feed(spark, sf, "company_size", "state", "description"))
 
 
+def drift_draw(spark: SparkSession, sf: str) -> DataFrame:
+    """Baseline and batch drawn from the orders, by status."""
+    orders = co.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    sides = drift.draw_batches(orders, "o_orderkey")
+    parts = [df.select(F.lit(name).alias("side"), "o_orderstatus") for name, df in zip(("baseline", "batch"), sides, strict=True)]
+    return parts[0].unionAll(parts[1]).groupBy("side", "o_orderstatus").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def psi(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _orders(spark, sf)
     parts = [
@@ -205,6 +213,7 @@ QUERIES = {
     "length_hist": length_hist,
     "drift_profile": drift_profile,
     "psi": psi,
+    "drift_draw": drift_draw,
     "ks_statistic": ks_statistic,
     "drift_report": drift_report,
     "drift_status": drift_status,
@@ -294,6 +303,12 @@ ORACLE = {
         "SELECT 'null' AS bucket, count(*) - count(state) AS count FROM fx UNION ALL SELECT 'non_null', count(state) FROM fx", "fx"),
     "length_hist": sql("SELECT length(description) AS length, count(*) AS count FROM fx WHERE description IS NOT NULL GROUP BY 1", "fx"),
     "drift_profile": sql("SELECT metric, bucket, count(*) AS count FROM c GROUP BY ALL", "fx", c=_PROFILE.format(g="1 AS g", t="fx").replace("1 AS g, ", "")),
+    "drift_draw": """
+WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5('42|' || o_orderkey::VARCHAR), o_orderkey LIMIT 12000),
+b AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)
+  ORDER BY md5('43|' || o_orderkey::VARCHAR), o_orderkey LIMIT 6000)
+SELECT 'baseline' AS side, o_orderstatus, count(*) AS rows FROM a GROUP BY ALL
+UNION ALL SELECT 'batch', o_orderstatus, count(*) FROM b GROUP BY ALL""",
     "psi": sql(f'SELECT col AS "column", round(psi, 9) AS psi, {_BANDS} AS severity FROM ps', None, cnt=_ORDER_CELLS, ps=_psi_sql("cnt", "col")),
     "ks_statistic": sql(
         f"SELECT round(d, 9) AS statistic, round(p, 6) AS p_value, {_KS_BANDS} AS severity, n1, n2 FROM k1", None,
