@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.sources.durable import pin
 
-__all__ = ["GAP", "pin", "table", "words", "lower_ascii", "fold", "text_of", "likely_in"]
+__all__ = ["by_value", "GAP", "pin", "table", "words", "lower_ascii", "fold", "text_of", "likely_in"]
 
 #: White space as all operators see it: space, tab, line feed, vertical tab, form feed, return.
 GAP = r"[\x20\x09-\x0D]+"
@@ -15,6 +18,11 @@ GAP_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def by_value(module: str) -> None:
+    """Functions of the module travel inside the tasks, so workers need not have this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

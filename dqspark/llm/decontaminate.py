@@ -15,7 +15,7 @@ An item of L words is compared with windows of L words of the documents.
    multisets of shingles: sum of minima over sum of maxima, at least 0.75.
 
 At similarity 0.75 the fingerprints' distance is binomial with mean 11 of 64; it exceeds
-23 once in 30,000 such pairs.
+23 once in 11,000 such pairs.
 
 Null or empty documents and items match nothing; an item under five words matches only a
 document that is that sequence.  Repeated items count as one each; rows of equal text get

@@ -8,7 +8,7 @@ positions with at most one error.  For every chunk each place of that error is e
 the other positions of the chunk form a key, and documents that share any key are
 candidates.  So every pair within that distance is a candidate without fail.  For sets of
 similarity 0.75 the number of differing positions is binomial (30, 1/4); it exceeds 19 with
-a probability near 1e-6, and most pairs beyond the distance share a key as well.  All
+a probability of 2e-6, and most pairs beyond the distance share a key as well.  All
 candidates are confirmed on the full sets.
 
 Equal sets are one node from the start.  A key held by more than ``SMALL`` nodes is not
@@ -33,9 +33,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import pin, text_of
+from dqspark.llm.common import by_value, pin, text_of
 from dqspark.llm.components import components
 
+by_value(__name__)
+
 SHINGLE = 5
 CHUNKS = 10
 WIDTH = 3

@@ -26,6 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqspark.llm.common import by_value
+
+by_value(__name__)
+
 SPANS = "array<struct<kind:string,start:int,stop:int>>"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("mailbox", "login", "account", "secret")

@@ -30,7 +30,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import pin, text_of
+from dqspark.llm.common import by_value, pin, text_of
+
+by_value(__name__)
 
 PIECE = 600
 DICTIONARY_BYTES = 110 * 1024

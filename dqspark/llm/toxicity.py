@@ -27,7 +27,9 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import pin, text_of
+from dqspark.llm.common import by_value, pin, text_of
+
+by_value(__name__)
 
 SLOTS = 1 << 20
 FEATURES = 1024
