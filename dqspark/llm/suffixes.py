@@ -33,7 +33,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import pin, text_of
+from dqspark.llm.common import by_value, pin, text_of
+
+by_value(__name__)
 
 SPAN = 200
 GRAM = 40
@@ -159,21 +161,22 @@ def identity(data: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(data)).view(np.int64))
 
 
-def contexts(touched: DataFrame) -> DataFrame:
-    """(hash, hot, text_id, n_bytes, start, around): the bytes of all windows that hang on each repeated anchor."""
+def contexts(touched: DataFrame, hot: bool) -> DataFrame:
+    """(hash, text_id, n_bytes, start, around): the bytes of all windows that hang on each repeated anchor."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text_id, n, text, found in zip(batch["text_id"], batch["n_bytes"], batch["text"], batch["found"], strict=True):
                 data = text.encode("utf-8", "replace")
-                for a in found if found is not None else ():
+                for a in found:
                     place, lo, hi = a["packed"] >> 16, a["packed"] >> 8 & 255, a["packed"] & 255
-                    rows.append((a["hash"], a["hot"], text_id, n, place - lo, data[place - lo : place - hi + SPAN]))
-            yield pd.DataFrame(rows, columns=["hash", "hot", "text_id", "n_bytes", "start", "around"])
+                    rows.append((a["hash"], text_id, n, place - lo, data[place - lo : place - hi + SPAN]))
+            yield pd.DataFrame(rows, columns=["hash", "text_id", "n_bytes", "start", "around"])
 
-    return touched.select("text_id", "n_bytes", "text", "found").mapInPandas(
-        cut, "hash long, hot boolean, text_id long, n_bytes long, start int, around binary"
+    wanted = F.filter("found", lambda a: a["hot"] == hot)
+    return touched.select("text_id", "n_bytes", "text", wanted.alias("found")).filter(F.size("found") > 0).mapInPandas(
+        cut, "hash long, text_id long, n_bytes long, start int, around binary"
     )
 
 
@@ -287,9 +290,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     inner = known.filter(F.size("local") > 0).select("text_id", "n_bytes", "local").distinct()
     wanted = found.join(inner, ["text_id", "n_bytes"], "full_outer").join(copies, ["text_id", "n_bytes"])
     touched = pin(texts_of(rows, wanted), "touched")
-    around = contexts(touched)
-    groups = compare_groups(around.filter("not hot").drop("hot").repartition("hash").sortWithinPartitions("hash"))
-    spans = groups.unionAll(compare_hot(around.filter("hot").drop("hot"))).unionAll(
+    groups = compare_groups(contexts(touched, hot=False).repartition("hash").sortWithinPartitions("hash"))
+    spans = groups.unionAll(compare_hot(contexts(touched, hot=True))).unionAll(
         touched.filter("local is not null").select("text_id", "n_bytes", "local")
     )
     cut = cut_texts(touched, spans).dropDuplicates(["text_id", "n_bytes"])
