@@ -30,7 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import text_of
+from dqspark.llm.common import by_value, text_of
+from dqspark.operators.lookup import look_up
+
+by_value(__name__)
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +64,8 @@ CONTENT = frozenset("article content main post entry story body text page".split
 DECAY = 0.6
 STEPS = 12
 MAX_PATHS = 16
+#: Winning paths are broadcast only up to so many hosts, of a kilobyte or so each.
+BROADCAST_HOSTS = 20_000
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
@@ -265,7 +270,8 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     named = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_of(html).alias("html"), host(F.col(url)).alias("host")
     )
-    joined = named.join(winning_paths(pages, url, html), "host", "left")
+    # few hosts: pages stay where they are; many: a host's pages are spread, however many it has
+    joined = look_up(named, winning_paths(pages, url, html), "host", limit=BROADCAST_HOSTS)
     return joined.select(
         "page_id", "url", F.pandas_udf(_texts, "string")("html", F.coalesce("paths", F.array().cast("array<string>"))).alias("text")
     ).withColumn("n_chars", F.length("text").cast("long"))
