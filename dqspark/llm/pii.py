@@ -2,8 +2,9 @@
 
 One Aho-Corasick pass over a text finds at-signs, plus signs, address schemes and
 identifier cues ("iban", "account no", "password" ...).  Digits open number clusters.
-From each anchor a small deterministic parser walks outwards, so a text is read a fixed
-number of times whatever it holds.
+From each anchor a small deterministic parser walks outwards to the real end of the value,
+however long that is; walks stop at the next anchor's sign or share their end, so a text is
+read a fixed number of times whatever it holds.
 
 Kinds, in order: ``email``, ``ip``, ``card``, ``phone`` by fixed grammars (leftmost,
 without overlap within a kind), then what the cues add: ``mailbox`` (addresses with
@@ -50,11 +51,13 @@ _CLUSTER = re.compile(r"[0-9][0-9.\x20-]{6,}")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_VALUE = re.compile(r"[\s:=#.\"']{0,4}(?:no\.?|number|is)?[\s:=#.\"']{0,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){3,40})", re.ASCII)
+_VALUE = re.compile(r"[\s:=#.\"']{0,4}(?:no\.?|number|is)?[\s:=#.\"']{0,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){3,34})", re.ASCII)  # one more than the 34 of an IBAN
+_NUMBER = re.compile(r"[A-Za-z]{0,4}[ -]?[0-9](?:[ -]?[0-9])*+", re.ASCII)
 _IBAN_SHAPE = re.compile(r"[A-Za-z]{2}[0-9]{2}[ -]?[A-Za-z0-9]{4}", re.ASCII)
-_SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,256})")
-_AUTHORITY = re.compile(r"([^\s/?#@<>\"]{1,256})@[A-Za-z0-9.-]+")
-_TARGET = re.compile(r"[A-Za-z0-9+().-]{5,40}")
+_SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?=[^\s\"']{8})")
+_UNBROKEN = re.compile(r"[^\s\"']++")
+_AUTHORITY = re.compile(r"([^\s/?#@<>\"]++)@[A-Za-z0-9.-]+")
+_TARGET = re.compile(r"[A-Za-z0-9+().-]{5,}+")
 
 _automaton = None
 
@@ -159,12 +162,13 @@ def _word_like(c: str) -> bool:
 
 
 def _added(text: str, loose: list[int], cues: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
-    """Candidates of the added kinds, each checked by its parser; a walk is at most 256 long."""
+    """Candidates of the added kinds, each checked by its parser."""
+    first = last = 0  # the unbroken run read last; cues inside it share its end
     for at in loose:
         lo, hi = at, at + 1
-        while lo > max(0, at - 64) and (_word_like(text[lo - 1]) or text[lo - 1] in "._%+-"):
+        while lo > 0 and (_word_like(text[lo - 1]) or text[lo - 1] in "._%+-"):
             lo -= 1
-        while hi < min(len(text), at + 254) and (_word_like(text[hi]) or text[hi] in ".-"):
+        while hi < len(text) and (_word_like(text[hi]) or text[hi] in ".-"):
             hi += 1
         while hi > at + 1 and text[hi - 1] in ".-":
             hi -= 1
@@ -195,13 +199,15 @@ def _added(text: str, loose: list[int], cues: list[tuple[int, int, str]]) -> Ite
             else:
                 if _IBAN_SHAPE.match(value):  # an IBAN whose check digits are wrong is none
                     continue
-                head = re.match(r"[A-Za-z]{0,4}[ -]?[0-9](?:[ -]?[0-9])*", value, re.ASCII)
+                head = _NUMBER.match(text, lo)
                 if head and sum("0" <= c <= "9" for c in head.group()) >= 6:
-                    yield "account", lo, lo + head.end()
+                    yield "account", lo, head.end()
         else:
             m = _SECRET.match(text, stop)
             if m:
-                yield "secret", m.start(1), m.end(1)
+                if not first <= m.end() < last:
+                    first, last = m.end(), _UNBROKEN.match(text, m.end()).end()
+                yield "secret", m.end(), last
 
 
 def _span_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -71,3 +71,25 @@ def test_rows(spark, documents, folder):
 
 def test_empty_table(documents):
     assert pii.report(pii.find_pii(documents([]))).count() == 0
+
+
+def test_values_are_taken_to_their_end():
+    for n in (300, 2_000, 100_000):
+        assert pii.mask(f"token = {'eyJ0.-_' * (n // 7)} end") == "token = <secret> end"
+        assert pii.mask(f"account no {'12' * (n // 2)} end") == "account no <account> end"
+        assert pii.mask(f"see https://{'u' * n}@host/x") == "see https://<login>@host/x"
+        assert pii.mask(f"call tel:{'1' * n} end") == "call tel:<login> end"
+        assert pii.mask(f"to {'é' * n}@exämple.org end") == "to <mailbox> end"
+    assert pii.mask("iban MT84 MALT 0110 0001 2345 MTLC AST0 01S end") == "iban <account> end"
+
+
+def test_quoted_keys():
+    assert pii.mask('{"password": "abcdefgh1", \'token\' : \'ijklmnop2\'}') == '{"password": "<secret>", \'token\' : \'<secret>\'}'
+
+
+def test_many_cues_in_one_run_are_read_once():
+    import time
+
+    began = time.process_time()
+    assert pii.mask("token=" * 200_000) == "token=<secret>"
+    assert time.process_time() - began < 20
