@@ -1,11 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its words (letters, digits and marks, lower case) and their first four
-and five letters, which stand for inflected forms.  Terms are hashed into ``SLOTS`` slots.
-One pass over the labelled texts counts each slot by label; the ``FEATURES`` slots that
-tell most (likelihood ratio) become the machine's binary inputs.  Spark's ``FMClassifier``
+and five letters, which stand for inflected forms.  Terms are hashed into ``SLOTS`` slots,
+and all slots are inputs of the machine: none is left out for telling little alone, as two
+words can tell together what neither does.  Inputs are scaled (``scales``) so that slots of
+few texts, which would learn those texts by heart, move slowly.  Spark's ``FMClassifier``
 learns a weight for each and a ``FACTORS``-vector whose products weigh pairs, so that an
-insult next to a mention of a group can count for more than both alone.
+insult next to a mention of a group can count for more than both alone.  Slots that no
+labelled text holds are worth nothing.
 
 Labels are a bounded sample per class (``labels.MAX_PER_CLASS``), weighted back through
 the intercept.  Null texts count as empty; an empty text has no terms, so its score is
@@ -18,12 +20,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,11 @@ from dqspark.llm.common import by_value, pin, text_of
 
 by_value(__name__)
 
-SLOTS = 1 << 20
-FEATURES = 1024
+#: Each slot has 1 + ``FACTORS`` dense coefficients, which every step sends to the tasks and back.
+SLOTS = 1 << 16
 FACTORS = 4
-MIN_DOCS = 4
+#: Tasks of a step; each shuffles a dense gradient.
+TASKS = 5
 STEPS = 120
 THRESHOLD = 0.3
 
@@ -49,8 +52,8 @@ def terms(word: str) -> tuple[str, ...]:
 class Slots:
     """Hashed slots of the words met; the cache is emptied when it is full."""
 
-    def __init__(self, chosen: dict[int, int] | None = None):
-        self.chosen, self.known = chosen, {}
+    def __init__(self):
+        self.known = {}
 
     def of_word(self, word: str) -> tuple[int, ...]:
         import xxhash
@@ -58,8 +61,6 @@ class Slots:
         found = self.known.get(word)
         if found is None:
             found = tuple(xxhash.xxh32_intdigest(t) % SLOTS for t in terms(word))
-            if self.chosen is not None:
-                found = tuple(self.chosen[s] for s in found if s in self.chosen)
             if len(self.known) >= _CACHED:
                 self.known.clear()
             self.known[word] = found
@@ -72,25 +73,23 @@ class Slots:
         return sorted(out)
 
 
-@dataclass
+@dataclass(eq=False)
 class FactorizationMachine:
-    """``slots`` of the inputs, linear weights and factors in the same order."""
+    """Linear weights and factors by slot; both None if there was nothing to learn."""
 
-    slots: list[int] = field(default_factory=list)
     intercept: float = 0.0
-    linear: list[float] = field(default_factory=list)
-    factors: list[list[float]] = field(default_factory=list)
+    linear: np.ndarray | None = None
+    factors: np.ndarray | None = None
 
     def score(self, text: Column) -> Column:
         """Probability of the toxic label."""
-        if not self.slots:
+        if self.linear is None:
             return F.lit(1.0 / (1.0 + math.exp(-self.intercept))) + F.length(text) * 0.0
-        slots, intercept, linear, factors = self.slots, self.intercept, self.linear, self.factors
+        intercept, w, v = self.intercept, self.linear, self.factors
 
         @F.pandas_udf("double")
         def logit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            lookup = Slots({s: i for i, s in enumerate(slots)})
-            w, v = np.array(linear), np.array(factors)
+            lookup = Slots()
             for batch in batches:
                 out = np.full(len(batch), intercept)
                 for i, t in enumerate(batch):
@@ -107,8 +106,8 @@ class FactorizationMachine:
         return docs.select(F.col(doc_id).alias("doc_id"), self.score(text_of(text)).alias("score"))
 
 
-def slot_counts(rows: DataFrame) -> DataFrame:
-    """(slot, toxic, other): documents of either label that have the slot; each task adds up its own rows first."""
+def slot_counts(rows: DataFrame) -> np.ndarray:
+    """Documents by label (0, 1) and slot; each task adds up its own rows first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lookup, seen = Slots(), np.zeros((2, SLOTS), dtype=np.int64)
@@ -119,20 +118,24 @@ def slot_counts(rows: DataFrame) -> DataFrame:
         yield pd.DataFrame({"slot": slot, "toxic": seen[1, slot], "other": seen[0, slot]})
 
     part = rows.select("text", "label").mapInPandas(count, "slot int, toxic long, other long")
-    return part.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    found = part.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()
+    out = np.zeros((2, SLOTS))
+    out[1, found["slot"]], out[0, found["slot"]] = found["toxic"], found["other"]
+    return out
 
 
-def telling(counts: DataFrame, n_toxic: int, n_other: int, n: int) -> list[int]:
-    """The ``n`` slots with the largest likelihood ratio against independence."""
-    a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
+def scales(counts: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Size of each slot's input: its variance to the 3/4, times 1 + its likelihood ratio to the 2/3, the largest being 1."""
+    b, a = counts
     share = (a + b) / (n_toxic + n_other)
-    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    ratio = (
-        part(a, share * n_toxic) + part(b, share * n_other)
-        + part(n_toxic - a, (1 - share) * n_toxic) + part(n_other - b, (1 - share) * n_other)
-    )
-    rows = counts.filter(a + b >= MIN_DOCS).select("slot", ratio.alias("r")).orderBy(F.desc("r"), "slot").limit(n)
-    return [r["slot"] for r in rows.collect()]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda seen, expected: np.where(seen > 0, seen * np.log(seen / expected), 0.0)
+        ratio = 2 * (
+            part(a, share * n_toxic) + part(b, share * n_other)
+            + part(n_toxic - a, (1 - share) * n_toxic) + part(n_other - b, (1 - share) * n_other)
+        )
+    size = (share * (1 - share)) ** 0.75 * (1 + np.maximum(ratio, 0.0)) ** (2 / 3)
+    return size / max(size.max(), 1e-300)
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", weight: str = "weight") -> FactorizationMachine:
@@ -149,29 +152,22 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", weight: s
     }
     (n1, w1), (n0, w0) = seen.get(1, (0, 0.0)), seen.get(0, (0, 0.0))
     prior = math.log((w1 + 0.5) / (w0 + 0.5))
-    chosen = telling(slot_counts(rows), n1, n0, FEATURES) if n1 and n0 else []
-    if not chosen:
+    if not (n1 and n0):
         return FactorizationMachine(intercept=prior)
-    at = {s: s for s in chosen}
+    scale, lookup = scales(slot_counts(rows), n1, n0), Slots()
 
-    @F.pandas_udf("array<string>")
-    def inputs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lookup = Slots(at)
-        for batch in batches:
-            yield pd.Series([list(map(str, lookup.of_text(t))) for t in batch])
+    @F.udf(VectorUDT())
+    def inputs(text: str) -> SparseVector:
+        on = lookup.of_text(text)
+        return SparseVector(SLOTS, on, scale[on])
 
-    vector = CountVectorizerModel.from_vocabulary(list(map(str, chosen)), inputCol="on", outputCol="v", minTF=0.0)
-    points = pin(
-        vector.transform(rows.select(inputs("text").alias("on"), F.col("label").cast("double").alias("label")))
-        .select("v", "label"), "toxicity-points",
-    )
+    points = pin(rows.select(inputs("text").alias("v"), F.col("label").cast("double").alias("label")), "toxicity-points")
     fitted = FMClassifier(
         featuresCol="v", labelCol="label", factorSize=FACTORS, stepSize=0.1, maxIter=STEPS, regParam=1e-4,
         initStd=0.01, seed=7, tol=1e-5,
-    ).fit(points.coalesce(8))
+    ).fit(points.coalesce(TASKS))
     # classes were sampled apart: move from the sample's odds to those of all labels
     shift = prior - math.log((n1 + 0.5) / (n0 + 0.5))
     return FactorizationMachine(
-        chosen, float(fitted.intercept) + shift, [float(x) for x in fitted.linear],
-        [[float(x) for x in row] for row in fitted.factors.toArray()],
+        float(fitted.intercept) + shift, fitted.linear.toArray() * scale, fitted.factors.toArray() * scale[:, None]
     )

@@ -62,3 +62,19 @@ def test_prefix_terms_join_inflected_forms():
     slots = toxicity.Slots()
     assert set(slots.of_text("loweist")) & set(slots.of_text("LOWEIung!"))
     assert slots.of_text(None) == []
+
+
+def test_pair_of_neutral_words(spark):
+    """Only the two words together are toxic; alone each is as frequent in either class, behind thousands of other terms."""
+    import random
+
+    from conftest_llm import prose
+
+    rng, filler = random.Random(4), prose(11, 1500)
+    kinds = [("grelb sontu", 1), ("vapple", 1), ("grelb", 0), ("sontu", 0)]
+    made = [(" ".join([*rng.sample(filler, 12), words]), label, 1.0) for _ in range(250) for words, label in kinds]
+    model = toxicity.fit(spark.createDataFrame(made, "text string, label int, weight double"))
+    asked = [(k, " ".join([*rng.sample(filler, 12), kinds[k][0]])) for _ in range(50) for k in range(4)]
+    out = model.apply(spark.createDataFrame(asked, "doc_id int, text string"))
+    right = out.select(((F.col("score") >= toxicity.THRESHOLD) == (F.col("doc_id") < 2)).cast("int").alias("ok"), "doc_id")
+    assert all(r["ok"] >= 0.9 for r in right.groupBy("doc_id").agg(F.avg("ok").alias("ok")).collect())
