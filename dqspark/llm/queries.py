@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.llm import labels as labelling
-from dqspark.llm import decontaminate, htmlmain, licenses, linerules, mixing, neardup, pii, quality, suffixes, toxicity
+from dqspark.llm import (
+    decontaminate, htmlmain, licenses, linerules, mixing, neardup, pii, quality, suffixes, toxicity, whitening,
+)
 from dqspark.llm.common import fold, table, text_of
 
 
@@ -68,10 +70,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_neardup": op1_neardup, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_htmlmain": op4_htmlmain,
     "op5_decontaminate": op5_decontaminate, "op6_linerules": op6_linerules,
     "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_licenses": op9_licenses, "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
 }
 ORACLE = {
     "op5_decontaminate": decontaminate.ORACLE, "op6_linerules": linerules.ORACLE, "op8_mixing": mixing.ORACLE,
