@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dqspark.llm import labels as labelling
 from dqspark.llm import (
-    decontaminate, htmlmain, licenses, linerules, mixing, neardup, pii, quality, suffixes, toxicity, whitening,
+    decontaminate, htmlmain, licenses, linerules, mixing, neardup, periods, pii, quality, suffixes, toxicity, whitening,
 )
 from dqspark.llm.common import fold, table, text_of
 
@@ -75,11 +75,23 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, a tenth of the documents made periodic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periods.planted().alias("text"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("best")
+    return periods.find_runs(docs).withColumn("best", periods.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_neardup": op1_neardup, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_htmlmain": op4_htmlmain,
     "op5_decontaminate": op5_decontaminate, "op6_linerules": op6_linerules,
     "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_licenses": op9_licenses, "op10_pii": op10_pii,
-    "op11_whitening": op11_whitening,
+    "op11_whitening": op11_whitening, "op12_periods": op12_periods,
 }
 ORACLE = {
     "op5_decontaminate": decontaminate.ORACLE, "op6_linerules": linerules.ORACLE, "op8_mixing": mixing.ORACLE,
