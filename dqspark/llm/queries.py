@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dqspark.llm import labels as labelling
 from dqspark.llm import (
-    decontaminate, htmlmain, licenses, linerules, mixing, neardup, periods, pii, quality, suffixes, toxicity, whitening,
+    decontaminate, htmlmain, language, licenses, linerules, mixing, neardup, periods, pii, quality, suffixes, toxicity, whitening,
 )
 from dqspark.llm.common import fold, table, text_of
 
@@ -87,11 +87,21 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, fold("doc_id", 4) != 2)
+    return docs.select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), model.label_column(text_of("text")).alias("found")
+    ).select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
 QUERIES = {
     "op1_neardup": op1_neardup, "op2_quality": op2_quality, "op3_suffixes": op3_suffixes, "op4_htmlmain": op4_htmlmain,
     "op5_decontaminate": op5_decontaminate, "op6_linerules": op6_linerules,
     "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_licenses": op9_licenses, "op10_pii": op10_pii,
     "op11_whitening": op11_whitening, "op12_periods": op12_periods,
+    "op13_language": op13_language,
 }
 ORACLE = {
     "op5_decontaminate": decontaminate.ORACLE, "op6_linerules": linerules.ORACLE, "op8_mixing": mixing.ORACLE,
