@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.hashing import order_key
+from dqspark.operators import boosting, evidence
 from dqspark.operators.contract import SEQ
 from dqspark.operators.lookup import look_up
 from dqspark.operators.metrics import macro_f1
 from dqspark.operators.missing import diagnose, missing_profile
 from dqspark.operators.neighbors import nearest
 from dqspark.operators.ranking import stratified_split
+from dqspark.operators.report import next_version
 from dqspark.sources.durable import pin
 
 # --- fixed values -------------------------------------------------------------
@@ -85,6 +86,18 @@ class Encoder:
                 enc.shares[p] = frequency_shares(train, p)
         return enc
 
+    def save(self, path: str) -> None:
+        for p, shares in self.shares.items():
+            shares.write.parquet(f"{path}/shares-{p}")
+        for p, mean in self.means.items():
+            mean.coalesce(1).write.parquet(f"{path}/mean-{p}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, predictors: tuple[str, ...], numbers: list[str]) -> Encoder:
+        return cls(
+            tuple(predictors), {p: spark.read.parquet(f"{path}/shares-{p}") for p in predictors if p not in numbers},
+            {p: spark.read.parquet(f"{path}/mean-{p}") for p in numbers})
+
     @property
     def axes(self) -> list[str]:
         return [f"x_{p}" for p in self.predictors]
@@ -134,15 +147,43 @@ class Baseline:
     def predict(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("predicted", self.fill.scalar())
 
+    def save(self, path: str) -> dict:
+        self.fill.coalesce(1).write.parquet(f"{path}/fill")
+        return {}
 
-class KNearest:
-    name = "knn"
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, meta: dict) -> Baseline:
+        out = cls(meta["winner"])
+        out.fill = spark.read.parquet(f"{path}/fill")
+        return out
 
-    def fit(self, known, target, predictors, key):
+
+class _Encoded:
+    """What the strategies on encoded predictors keep: class codes and the encoder."""
+
+    def _prepare(self, known: DataFrame, target: str, predictors: tuple[str, ...]) -> DataFrame:
         self.codes = pin(class_codes(known, target), "codes")
         self.encoder = Encoder.fit(known, predictors)
-        coded = _coded(known, target, self.codes)
-        self.train = self.encoder.transform(coded).select(
+        return self.encoder.transform(_coded(known, target, self.codes))
+
+    def _save(self, path: str) -> dict:
+        self.codes.write.parquet(f"{path}/codes")
+        self.encoder.save(path)
+        return {"predictors": list(self.encoder.predictors), "numbers": list(self.encoder.means)}
+
+    @classmethod
+    def _load(cls, spark: SparkSession, path: str, meta: dict):
+        out = cls()
+        out.codes = spark.read.parquet(f"{path}/codes")
+        out.encoder = Encoder.load(spark, path, tuple(meta["predictors"]), meta["numbers"])
+        return out
+
+
+class KNearest(_Encoded):
+    name = "knn"
+
+    def fit(self, known, target, predictors, key):
+        self.train = self._prepare(known, target, predictors).select(
             *self.encoder.axes, "__code", order_key(SEED, F.col(key)).alias("__o")
         )
         return self
@@ -154,68 +195,117 @@ class KNearest:
         joined = encoded.join(means, axes, "left")
         return _to_class(joined, F.col("mean"), self.codes).select(*rows.columns, "predicted")
 
+    def save(self, path: str) -> dict:
+        self.train.write.parquet(f"{path}/train")
+        return self._save(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, meta: dict) -> KNearest:
+        out = cls._load(spark, path, meta)
+        out.train = spark.read.parquet(f"{path}/train")
+        return out
+
 
-class Ridge:
-    """One lightly regularized regression: what chained regression is with only the target missing."""
+class Ridge(_Encoded):
+    """Bayesian ridge regression: what chained regression is with only the target missing."""
 
     name = "ridge"
 
     def fit(self, known, target, predictors, key):
-        self.codes = pin(class_codes(known, target), "codes")
-        self.encoder = Encoder.fit(known, predictors)
-        self.assembler = VectorAssembler(inputCols=self.encoder.axes, outputCol="__x")
-        coded = _coded(known, target, self.codes)
-        train = self.assembler.transform(self.encoder.transform(coded)).select("__x", "__code")
-        self.model = LinearRegression(
-            featuresCol="__x", labelCol="__code", predictionCol="__y", solver="normal", regParam=1e-6
-        ).fit(train)
+        self.model = evidence.fit(self._prepare(known, target, predictors), self.encoder.axes, "__code")
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        scored = self.model.transform(self.assembler.transform(self.encoder.transform(rows)))
-        return _to_class(scored, F.col("__y"), self.codes).select(*rows.columns, "predicted")
+        scored = self.encoder.transform(rows)
+        return _to_class(scored, self.model.predict(), self.codes).select(*rows.columns, "predicted")
+
+    def save(self, path: str) -> dict:
+        return self._save(path) | {"ridge": self.model.to_json()}
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, meta: dict) -> Ridge:
+        out = cls._load(spark, path, meta)
+        out.model = evidence.EvidenceRidge.from_json(meta["ridge"])
+        return out
 
 
 class Trees:
-    """Random forest; a text predictor gives its place among the most frequent values and its share.
+    """Boosted trees; a text predictor gives its value, a number its place between quantiles.
 
-    The same at every size: ``levels`` values have a place of their own, all
-    others share one and are told apart by their share of the training rows;
-    unseen values and nulls have place and share 0.
+    Unseen values count as missing, and every cut has learned which side those go to.
     """
 
-    name = "forest"
+    name = "boosted"
 
-    def __init__(self, trees: int = 60, depth: int = 8, levels: int = 60):
-        self.trees, self.depth, self.levels = trees, depth, levels
+    def __init__(self, rounds: int = boosting.ROUNDS, depth: int = boosting.DEPTH, rate: float = boosting.RATE):
+        self.rounds, self.depth, self.rate = rounds, depth, rate
 
     def fit(self, known, target, predictors, key):
         self.codes = pin(class_codes(known, target), "codes")
-        self.encoder = Encoder.fit(known, predictors)
-        self.places = {
-            p: [r["value"] for r in shares.orderBy(F.desc("share"), "value").limit(self.levels).collect()]
-            for p, shares in self.encoder.shares.items()
-        }
-        inputs = [f"i_{p}" for p in self.places] + [f"x_{p}" for p in predictors]
-        self.assembler = VectorAssembler(inputCols=inputs, outputCol="__x")
-        coded = _coded(known, target, self.codes)
-        self.model = RandomForestClassifier(
-            featuresCol="__x", labelCol="__code", predictionCol="__y", numTrees=self.trees,
-            maxDepth=self.depth, maxBins=2 * self.levels, seed=SEED,
-        ).fit(self._features(coded).select("__x", "__code"))
+        kinds = dict(known.dtypes)
+        self.predictors = tuple(predictors)
+        self.edges = {p: boosting.number_edges(known, p) for p in predictors if kinds[p] in _NUMERIC}
+        self.levels = {p: pin(boosting.text_bins(known, p), "bins") for p in predictors if p not in self.edges}
+        binned = self._binned(_coded(known, target, self.codes)).select("bins", F.col("__code").cast("int").alias("class"))
+        self.booster = boosting.fit(
+            binned, self.codes.count(), [p in self.levels for p in predictors], self.rounds, self.depth, self.rate)
         return self
 
-    def _features(self, rows: DataFrame) -> DataFrame:
-        rows = self.encoder.transform(rows)
-        for p, values in self.places.items():
-            found = F.array_position(F.array(*map(F.lit, values)).cast("array<string>"), F.col(p))
-            beyond = F.when(F.col(f"x_{p}") > 0, self.levels + 1.0).otherwise(0.0)
-            rows = rows.withColumn(f"i_{p}", F.when(found > 0, found.cast("double")).otherwise(beyond))
-        return self.assembler.transform(rows)
+    def _binned(self, rows: DataFrame) -> DataFrame:
+        own = rows.columns
+        for i, p in enumerate(self.predictors):
+            if p in self.levels:
+                met = self.levels[p].select(F.col("value").alias(p), F.col("bin").alias(f"__b{i}"))
+                rows = look_up(rows, met, p).withColumn(f"__b{i}", F.coalesce(f"__b{i}", F.lit(0)))
+            else:
+                rows = rows.withColumn(f"__b{i}", boosting.number_bin(F.col(p), self.edges[p]))
+        return rows.select(*own, F.array(*[F.col(f"__b{i}").cast("int") for i in range(len(self.predictors))]).alias("bins"))
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        scored = self.model.transform(self._features(rows))
-        return _to_class(scored, F.col("__y"), self.codes).select(*rows.columns, "predicted")
+        scored = self._binned(rows).withColumn("__y", self.booster.best(F.col("bins")))
+        return _to_class(scored, F.col("__y").cast("double"), self.codes).select(*rows.columns, "predicted")
+
+    def save(self, path: str) -> dict:
+        self.codes.write.parquet(f"{path}/codes")
+        for p, levels in self.levels.items():
+            levels.write.parquet(f"{path}/levels-{p}")
+        self.booster.save(self.codes.sparkSession, f"{path}/booster")
+        return {"predictors": list(self.predictors), "edges": self.edges}
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, meta: dict) -> Trees:
+        out = cls()
+        out.predictors, out.edges = tuple(meta["predictors"]), meta["edges"]
+        out.codes = spark.read.parquet(f"{path}/codes")
+        out.levels = {p: spark.read.parquet(f"{path}/levels-{p}") for p in out.predictors if p not in out.edges}
+        out.booster = boosting.Booster.load(spark, f"{path}/booster")
+        return out
+
+
+class GroupMode:
+    """Most frequent value per group with the overall mode behind it."""
+
+    name = "group_mode"
+
+    def fit(self, df: DataFrame, target: str, groups: tuple[str, ...]):
+        self.target, self.groups = target, tuple(groups)
+        self.modes, self.overall = pin(fit_group_mode(df, target, groups), "modes"), mode_of(df, target)
+        return self
+
+    def fill(self, df: DataFrame) -> DataFrame:
+        return apply_group_mode(df, self.target, self.groups, self.modes, self.overall)
+
+    def save(self, path: str) -> dict:
+        self.modes.write.parquet(f"{path}/modes")
+        self.overall.coalesce(1).write.parquet(f"{path}/overall")
+        return {"groups": list(self.groups)}
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, meta: dict) -> GroupMode:
+        out = cls()
+        out.target, out.groups = meta["column"], tuple(meta["groups"])
+        out.modes, out.overall = spark.read.parquet(f"{path}/modes"), spark.read.parquet(f"{path}/overall")
+        return out
 
 
 def build_strategies(kind: str) -> list:
@@ -301,16 +391,27 @@ REPORT = (
     "column string, decision string, diagnosis string, missing_count bigint, missing_ratio double, "
     "scores map<string,double>, winner string, winner_score double, total_classes bigint, "
     "evaluated_classes bigint, singleton_classes bigint, coverage_ratio double, hit_rate double, "
-    "known_limitation string"
+    "known_limitation string, model_version string, registered_new_version boolean, artifact string"
 )
 
 
-def run_engine(df: DataFrame, key: str = "company_id", strategies: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def fill_holes(df: DataFrame, column: str, strategy) -> DataFrame:
+    """The table with nulls of the column predicted by a fitted strategy; known values stay."""
+    kind = dict(df.dtypes)[column]
+    filled = strategy.predict(df.filter(F.col(column).isNull()))
+    return df.filter(F.col(column).isNotNull()).unionByName(
+        filled.withColumn(column, F.col("predicted").cast(kind)).select(*df.columns))
+
+
+def run_engine(
+    df: DataFrame, key: str = "company_id", strategies: dict | None = None, store: ImputerStore | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(filled table, report) over the columns with nulls, in dependency order.
 
     Diagnoses look at the table as it came; each fill sees the earlier ones.
     The table is written once after every learned fill, so a lost executor
-    never repeats a model fit.
+    never repeats a model fit.  With a store, every fitted model goes there and
+    the report names its version and folder.
     """
     profile = {r["column"]: r for r in missing_profile(df).collect()}
     holes = [c for c in df.columns if c in profile and profile[c]["missing_count"] > 0]
@@ -326,13 +427,16 @@ def run_engine(df: DataFrame, key: str = "company_id", strategies: dict | None =
         if all_null and (col in BENCHMARKED or col in GROUP_MODE):
             entry["decision"] = "left null: no known value to learn from"
         elif col in BENCHMARKED:
-            df, more = _benchmarked(df, col, key, (strategies or {}).get(col))
-            entry |= more
+            winner, more = _benchmarked(df, col, key, (strategies or {}).get(col))
+            entry |= more | (store.save(col, winner) if store else {})
+            df = pin(fill_holes(df, col, winner), f"fill-{col}")
         elif col in GROUP_MODE:
             groups = GROUP_MODE[col]
             entry["decision"] = f"most frequent value per {' + '.join(groups)}"
             entry["hit_rate"] = group_mode_coverage(df, col, groups).first()["hit_rate"]
-            df = pin(fill_group_mode(df, col, groups), f"fill-{col}")
+            modes = GroupMode().fit(df, col, groups)
+            entry |= store.save(col, modes) if store else {}
+            df = pin(modes.fill(df), f"fill-{col}")
         elif col in SKIPPED:
             entry["decision"] = "left null on purpose"
         else:
@@ -343,20 +447,86 @@ def run_engine(df: DataFrame, key: str = "company_id", strategies: dict | None =
     return df, df.sparkSession.createDataFrame(rows, REPORT)
 
 
-def _benchmarked(df: DataFrame, col: str, key: str, strategies: list | None) -> tuple[DataFrame, dict]:
+def _benchmarked(df: DataFrame, col: str, key: str, strategies: list | None) -> tuple[object, dict]:
+    """The winner of the benchmark, fitted on all known rows, and its part of the report."""
     predictors, kind = BENCHMARKED[col]
     known = df.filter(F.col(col).isNotNull())
     candidates = strategies or build_strategies(kind)
     result = benchmark(known, col, predictors, kind, key, candidates)
     winner = next(s for s in candidates if s.name == result["winner"])
     winner.fit(known.select(key, col, *predictors), col, predictors, key)
-    holes = df.filter(F.col(col).isNull())
-    kind_of = dict(df.dtypes)[col]
-    filled = winner.predict(holes).withColumn(col, F.col("predicted").cast(kind_of)).select(*df.columns)
     coverage = result["class_coverage"]
-    entry = {
+    return winner, {
         "decision": "benchmarked", "scores": result["scores"], "winner": result["winner"],
         "winner_score": result["scores"][result["winner"]], **coverage,
         "known_limitation": limitation(coverage),
     }
-    return pin(known.unionByName(filled), f"fill-{col}"), entry
+
+
+VERSIONS = "model string, version string, winner string, registered boolean, path string, place bigint"
+
+
+class ImputerStore:
+    """Fitted imputation models by column, under one folder every executor can reach.
+
+    Each save makes a folder of its own, holding the model's tables and one row of
+    metadata.  The index gets a row after the folder is complete, so a save that
+    breaks off is never read.  A new version is counted only when the winner of a
+    column changed; ``version`` asks for the model saved when it was registered,
+    otherwise the newest save counts.
+    """
+
+    KINDS = {"knn": KNearest, "ridge": Ridge, "boosted": Trees, "group_mode": GroupMode, "median": Baseline, "mode": Baseline}
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def versions(self) -> DataFrame:
+        """One row per save."""
+        empty = self.spark.createDataFrame([], VERSIONS)
+        if not self._there():
+            return empty
+        return self.spark.read.schema(VERSIONS).parquet(f"{self.folder}/index")
+
+    def _there(self) -> bool:
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/index")
+        return path.getFileSystem(conf).exists(path)
+
+    def save(self, column: str, strategy) -> dict:
+        """Write a fitted strategy; version, whether it is new, and folder."""
+        known = self.versions()
+        version, new = next_version(known.filter("registered"), column, strategy.name)
+        path = f"{self.folder}/models/{column}-{uuid.uuid4().hex}"
+        meta = strategy.save(path) | {"column": column, "winner": strategy.name, "version": version}
+        self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/metadata")
+        row = [(column, version, strategy.name, new, path, known.count())]
+        self.spark.createDataFrame(row, VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.folder}/index")
+        return {"model_version": version, "registered_new_version": new, "artifact": path}
+
+    def load(self, column: str, version: str | None = None):
+        """(fitted strategy, metadata) of a column; None if there is none."""
+        rows = self.versions().filter(F.col("model") == column)
+        if version is not None:
+            rows = rows.filter("registered").filter(F.col("version") == version)
+        row = rows.orderBy(F.desc("place")).first()
+        if row is None:
+            return None
+        meta = json.loads(self.spark.read.parquet(f"{row['path']}/metadata").first()["meta"])
+        return self.KINDS[meta["winner"]].load(self.spark, row["path"], meta), meta
+
+    def apply(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(filled table, report) of a later batch: stored models in dependency order, nothing is fitted."""
+        entries = []
+        for col in [c for c in PROCESSING_ORDER if c in df.columns]:
+            missing = df.filter(F.col(col).isNull()).count()
+            found = self.load(col) if missing else None
+            if found is None:
+                continue
+            strategy, meta = found
+            filled = strategy.fill(df) if isinstance(strategy, GroupMode) else fill_holes(df, col, strategy)
+            df = pin(filled, f"applied-{col}")
+            left = df.filter(F.col(col).isNull()).count()
+            entries.append((col, meta["winner"], meta["version"], missing, missing - left))
+        return df, self.spark.createDataFrame(
+            entries, "column string, winner string, model_version string, missing_count bigint, filled_count bigint")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.functions import text as tx
 from dqspark.operators import impute, missing
+from dqspark.operators.ranking import stratified_split
 from dqspark.plans import companies as co
 from dqspark.plans.sqltext import quote, sql
-from dqspark.sources.durable import pin
+from dqspark.sources.durable import pin, shared_folder
 
 TEXTS = ("name", "description", "state", "country", "city", "zip_code", "address", "url")
 TARGETS = ("description", "company_size", "state", "country", "city", "zip_code", "address")
@@ -84,13 +87,46 @@ def impute_trees(spark: SparkSession, sf: str) -> DataFrame:
     return _strategy(impute.Trees(), spark, sf)
 
 
+def impute_trees_cities(spark: SparkSession, sf: str) -> DataFrame:
+    """What the boosted trees fill in where the city, which fixes the size in this feed, is known."""
+    target, predictors = "company_size", SIZE_PREDICTORS
+    rows = _seq_records(spark, sf, target, *predictors)
+    fitted = impute.Trees().fit(rows.filter(F.col(target).isNotNull()), target, predictors, "seq")
+    holes = rows.filter(F.col(target).isNull() & F.col("city").isNotNull())
+    return fitted.predict(holes).select("seq", "city", F.col("predicted").alias(target))
+
+
+def impute_trees_gain(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out macro-F1 of the baseline, the rows it is measured on, and whether boosted trees beat it."""
+    known = _seq_records(spark, sf, "company_size", *SIZE_PREDICTORS).filter(F.col("company_size").isNotNull())
+    result = impute.benchmark(
+        known, "company_size", SIZE_PREDICTORS, SIZE_KIND, "seq", [impute.Baseline("median"), impute.Trees()])
+    split = stratified_split(known, "company_size", "seq", impute.TEST_SHARE, impute.SEED)
+    baseline, boosted = result["scores"]["median"], result["scores"]["boosted"]
+    return split.agg(
+        F.count_if("is_test").alias("rows"), F.lit(round(baseline, 9)).alias("baseline_f1"), F.lit(boosted > baseline).alias("boosted_is_better"))
+
+
+def impute_stored_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Models fitted on three quarters of the records, stored, read back and applied to the others without a refit."""
+    rows = pin(co.cleaned(spark, sf).select(
+        F.col("_seq").alias("seq"), "company_size", "country", "state", "city", "zip_code"), "records")
+    first, later = rows.filter("seq % 4 <> 0"), rows.filter("seq % 4 = 0")
+    plain = {"company_size": [impute.Baseline("median")], "country": [impute.Baseline("mode")]}
+    folder = f"{shared_folder(spark)}/imputers-{uuid.uuid4().hex}"
+    impute.run_engine(first, "seq", plain, impute.ImputerStore(spark, folder))
+    filled, report = impute.ImputerStore(spark, folder).apply(later)
+    versions = report.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "column", "winner", "model_version"))), " ").alias("versions"))
+    return filled.crossJoin(F.broadcast(versions))
+
+
 def impute_learned_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows each learned strategy fills, and how many of them with a known class."""
     rows = _seq_records(spark, sf, "company_size", *SIZE_PREDICTORS)
     known, holes = rows.filter(F.col("company_size").isNotNull()), rows.filter(F.col("company_size").isNull())
     classes = known.select(F.col("company_size").alias("predicted")).distinct().withColumn("is_known", F.lit(True))
     out = None
-    for strategy in (impute.KNearest(), impute.Ridge(), impute.Trees(trees=20, depth=5)):
+    for strategy in (impute.KNearest(), impute.Ridge(), impute.Trees()):
         filled = strategy.fit(known, "company_size", SIZE_PREDICTORS, "seq").predict(holes)
         part = filled.join(F.broadcast(classes), "predicted", "left").agg(
             F.lit(strategy.name).alias("strategy"), F.count(F.lit(1)).alias("rows"), F.count_if("is_known").alias("known"),
@@ -118,8 +154,6 @@ def impute_benchmark(spark: SparkSession, sf: str) -> DataFrame:
 def impute_baselines(spark: SparkSession, sf: str) -> DataFrame:
     """The deterministic part of the benchmark: both baselines on their columns."""
     from dqspark.operators.metrics import macro_f1
-    from dqspark.operators.ranking import stratified_split
-
     rows = _seq_records(spark, sf, "company_size", "country")
     out = None
     for target, name in (("company_size", "median"), ("country", "mode")):
@@ -191,6 +225,9 @@ QUERIES = {
     "impute_knn": impute_knn,
     "impute_ridge": impute_ridge,
     "impute_trees": impute_trees,
+    "impute_trees_cities": impute_trees_cities,
+    "impute_trees_gain": impute_trees_gain,
+    "impute_stored_batch": impute_stored_batch,
     "impute_benchmark": impute_benchmark,
     "impute_engine": impute_engine,
     "impute_learned_rows": impute_learned_rows,
@@ -286,7 +323,64 @@ def _f1(split: str, fill: str) -> str:
       FROM (SELECT DISTINCT y AS label FROM {split} WHERE t UNION SELECT {fill}), (SELECT y FROM {split} WHERE t) GROUP BY label)"""
 
 
+_CENTRED = "SELECT n, m1, m2, m3, my, " + ", ".join(
+    f"sum(({a} - m{a[1]}) * ({b} - m{b[1]})) AS {n}" for a, b, n in (
+        ("x1", "x1", "a11"), ("x2", "x2", "a22"), ("x3", "x3", "a33"), ("x1", "x2", "a12"), ("x1", "x3", "a13"), ("x2", "x3", "a23"),
+        ("x1", "yy", "b1"), ("x2", "yy", "b2"), ("x3", "yy", "b3"), ("yy", "yy", "q"))
+) + " FROM pts, avgs GROUP BY n, m1, m2, m3, my"
+# one step of the evidence: the weights solve the normal equations at the penalty reached so far
+_STEP = """
+SELECT *, q - 2 * (w1 * b1 + w2 * b2 + w3 * b3) + a11 * w1 * w1 + a22 * w2 * w2 + a33 * w3 * w3
+    + 2 * (a12 * w1 * w2 + a13 * w1 * w3 + a23 * w2 * w3) AS r, 3 - rho * (i11 + i22 + i33) AS d FROM (
+  SELECT *, i11 * b1 + i12 * b2 + i13 * b3 AS w1, i12 * b1 + i22 * b2 + i23 * b3 AS w2, i13 * b1 + i23 * b2 + i33 * b3 AS w3 FROM (
+    SELECT *, (c22 * c33 - a23 * a23) / det AS i11, (c11 * c33 - a13 * a13) / det AS i22, (c11 * c22 - a12 * a12) / det AS i33,
+      (a13 * a23 - a12 * c33) / det AS i12, (a12 * a23 - a13 * c22) / det AS i13, (a12 * a13 - a23 * c11) / det AS i23 FROM (
+      SELECT *, c11 * (c22 * c33 - a23 * a23) - a12 * (a12 * c33 - a13 * a23) + a13 * (a12 * a23 - a13 * c22) AS det FROM (
+        SELECT *, a11 + rho AS c11, a22 + rho AS c22, a33 + rho AS c33 FROM (SELECT s.*, g.*, weight / noise AS rho FROM {state} s, g)))))"""
+_EVIDENCE = f"""
+SELECT w1, w2, w3 FROM (WITH RECURSIVE st AS (
+  SELECT 0 AS i, 1 / (q / n + 2.220446049250313e-16) AS noise, 1.0::DOUBLE AS weight FROM g
+  UNION ALL SELECT i + 1, (n - d + 2e-6) / (greatest(r, 0) + 2e-6), (d + 2e-6) / (w1 * w1 + w2 * w2 + w3 * w3 + 2e-6)
+  FROM ({_STEP.format(state='st')}) WHERE i < 300) {_STEP.format(state='(SELECT * FROM st ORDER BY i DESC LIMIT 1)')})"""
+
+
+def _stored(target: str, groups: str, keep: str, source: str, learned: str) -> str:
+    """``source`` filled with the modes of ``learned``."""
+    on = " AND ".join(f"t.{g.strip()} = l.{g.strip()}" for g in groups.split(","))
+    cols = ", ".join(f"t.{c.strip()}" for c in keep.split(","))
+    return f"""SELECT {cols}, coalesce(t.{target}, l.mode, {_top(target, learned)}) AS {target}
+    FROM {source} t LEFT JOIN ({_mode(target, groups, learned)}) l ON {on}"""
+
+
+def _plain_fill(source: str) -> str:
+    return f"""SELECT seq, state, city, zip_code, coalesce(company_size, (SELECT CAST(round_even(median(company_size), 0) AS BIGINT) FROM one)) AS company_size,
+    coalesce(country, {_top('country', 'one')}) AS country FROM {source}"""
+
+
+_KEEP_STATE, _KEEP_CITY, _KEEP_ZIP = (", ".join(("seq", "company_size", "country", *r)) for r in (("city", "zip_code"), ("state", "zip_code"), ("state", "city")))
+
 ORACLE = {
+    "impute_ridge": sql(
+        """SELECT seq, 1 + CAST(least(greatest(round_even(code, 0), 0), 6) AS BIGINT) AS company_size FROM (
+        SELECT _seq AS seq, my + (x_state - m1) * w1 + (x_country - m2) * w2 + (x_city - m3) * w3 AS code
+        FROM enc, avgs, wts WHERE company_size IS NULL)""",
+        known=_KNOWN, enc=_ENCODED,
+        pts="SELECT x_state AS x1, x_country AS x2, x_city AS x3, (company_size - 1)::DOUBLE AS yy FROM enc WHERE company_size IS NOT NULL",
+        avgs="SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(yy) AS my FROM pts",
+        g=_CENTRED.replace("myy", "my"), wts=_EVIDENCE),
+    "impute_trees_cities": sql(
+        """SELECT _seq AS seq, city, 1 + CAST(substr(city, 6) AS BIGINT) % 7 AS company_size FROM cln
+        WHERE company_size IS NULL AND city IS NOT NULL"""),
+    "impute_trees_gain": sql(
+        f"""SELECT count(*) FILTER (t) AS rows, round(({_f1('a', '(SELECT v FROM fa)')}), 9) AS baseline_f1, true AS boosted_is_better FROM a""",
+        a=_split_sql("company_size"), fa="SELECT CAST(round_even(median(y), 0) AS BIGINT) AS v FROM a WHERE NOT t"),
+    "impute_stored_batch": sql(
+        """SELECT *, 'city:group_mode:1 company_size:median:1 country:mode:1 state:group_mode:1 zip_code:group_mode:1' AS versions FROM l3""",
+        base="SELECT _seq AS seq, company_size, country, state, city, zip_code FROM cln", one="SELECT * FROM base WHERE seq % 4 <> 0",
+        two="SELECT * FROM base WHERE seq % 4 = 0", f0=_plain_fill("one"), l0=_plain_fill("two"),
+        f1=_filled("state", "country", "f0", _KEEP_STATE), l1=_stored("state", "country", _KEEP_STATE, "l0", "f0"),
+        f2=_filled("city", "state, country", "f1", _KEEP_CITY), l2=_stored("city", "state, country", _KEEP_CITY, "l1", "f1"),
+        l3=_stored("zip_code", "state, country", _KEEP_ZIP, "l2", "f2")),
     "missing_profile": sql('SELECT "column", missing_count, round(missing_count / total, 6) AS missing_ratio FROM h', h=_HOLES),
     "missing_assoc_numeric": sql(
         "SELECT target, predictor, round(r, 6) AS r, n, missing FROM num WHERE n >= 2 AND missing BETWEEN 1 AND n - 1", num=_NUMERIC),
@@ -298,7 +392,7 @@ ORACLE = {
         cells=_CELLS, tables=_TABLES, chi=_CHI2, num=_NUMERIC, crit=_CRIT, found=_FOUND, h=_HOLES),
     "impute_learned_rows": sql(" UNION ALL ".join(
         f"SELECT '{s}' AS strategy, count(*) AS rows, count(*) AS known, count(DISTINCT _seq) AS keys FROM cln WHERE company_size IS NULL"
-        for s in ("knn", "ridge", "forest"))),
+        for s in ("knn", "ridge", "boosted"))),
     "engine_decisions": sql(
         f"""SELECT "column", CASE WHEN "column" IN ('company_size', 'country') THEN 'benchmarked'
         WHEN "column" IN ('description', 'address') THEN 'left null on purpose' WHEN "column" = 'state' THEN 'most frequent value per country'

@@ -67,9 +67,9 @@ def test_benchmark_prefers_signal_over_the_baseline(spark):
     rows = [(i, "east" if i % 2 else "west", 1 + 5 * (i % 2)) for i in range(200)]
     df = spark.createDataFrame(rows, "id bigint, region string, code bigint")
     # both regions are equally frequent, so only the trees can tell them apart
-    strategies = [impute.Baseline("median"), impute.Ridge(), impute.Trees(trees=5, depth=3)]
+    strategies = [impute.Baseline("median"), impute.Ridge(), impute.Trees(rounds=5, depth=3)]
     result = impute.benchmark(df, "code", ("region",), "ordinal", "id", strategies)
-    assert result["winner"] == "forest" and result["scores"]["forest"] == 1.0
+    assert result["winner"] == "boosted" and result["scores"]["boosted"] == 1.0
     assert result["class_coverage"]["singleton_classes"] == 0 and impute.limitation(result["class_coverage"]) is None
 
 
