@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.operators import clean, contract, impute
-from dqspark.operators.contract import COMPANY, Contract, Field
+from dqspark.operators.contract import COMPANY, REASONS_TYPE, Contract, Field
 from dqspark.plans import companies as co
 from dqspark.plans import run
 from dqspark.plans.run import stage_counts
 from dqspark.plans.sqltext import BUSINESS, normalize, sql
 from dqspark.sources.durable import pin, shared_folder
+from dqspark.sources.ledger import Ledger
 from dqspark.sources.sinks import quarantine_records, upsert_absent
 
 LOOSE = Contract(
@@ -93,6 +94,16 @@ def upsert(spark: SparkSession, sf: str) -> DataFrame:
     return upsert_absent(existing, pin(co.cleaned(spark, sf), "cleaned"), "company_id").withColumnRenamed("_seq", "seq")
 
 
+def insert_with_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches into one ledger: the row that holds each key and the run that wrote it."""
+    rows = pin(co.cleaned(spark, sf).select("_seq", "_seq", "company_id").toDF("_seq", "seq", "company_id"), "cleaned")
+    rejected = spark.createDataFrame([], "raw string, reasons " + REASONS_TYPE)
+    book = Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    book.write(rows.filter("seq % 3 <> 0"), rejected)
+    book.write(rows, rejected)
+    return book.clean().join(F.broadcast(book.runs().select("run", "number")), "run").select("company_id", "seq", "number")
+
+
 def quarantine_rows(spark: SparkSession, sf: str) -> DataFrame:
     rejected = contract.invalid_rows(co.annotated(spark, sf))
     records = quarantine_records(rejected)
@@ -131,6 +142,7 @@ QUERIES = {
     "text_normalize": text_normalize,
     "clean_pipeline": clean_pipeline,
     "upsert_absent": upsert,
+    "insert_with_history": insert_with_history,
     "quarantine_rows": quarantine_rows,
     "pipeline_report": pipeline_report,
     "run_batch": run_batch,
@@ -175,6 +187,9 @@ ORACLE = {
         f"""SELECT _seq AS seq, {BUSINESS} FROM (
         SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY _seq) AS rn FROM cln
         WHERE company_id NOT IN (SELECT s_suppkey FROM supplier)) WHERE rn = 1"""),
+    "insert_with_history": sql(
+        """SELECT company_id, coalesce(min(_seq) FILTER (_seq % 3 <> 0), min(_seq)) AS seq,
+        CAST(CASE WHEN count(*) FILTER (_seq % 3 <> 0) > 0 THEN 1 ELSE 2 END AS BIGINT) AS number FROM cln GROUP BY company_id"""),
     "quarantine_rows": sql(
         f"""SELECT company_id, name, url, zip_code, company_size, CAST(10 AS BIGINT) AS keys,
         CAST({_FAILS} AS BIGINT) AS reasons FROM chk WHERE {_FAILS} > 0""", "chk"),
