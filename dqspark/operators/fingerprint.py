@@ -125,9 +125,19 @@ def _std(squares: Column, total: Column, n: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean))
 
 
+def merge_values(tables: list[DataFrame]) -> DataFrame:
+    """The value table of all rows behind the given ones: counts add up, measures belong to the value."""
+    rows = reduce(DataFrame.unionByName, tables)
+    return rows.groupBy("column", "key").agg(F.sum("n").alias("n"), *[F.max(k).alias(k) for k in MEASURES])
+
+
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: ``column``, ``n_rows`` and the 19 features."""
-    values = value_table(unpivot(df, columns))
+    return fingerprint_values(value_table(unpivot(df, columns)))
+
+
+def fingerprint_values(values: DataFrame) -> DataFrame:
+    """Fingerprints from a value table."""
     n, present = F.col("n"), F.col("key").isNotNull()
     sums = values.groupBy("column").agg(
         F.sum("n").alias("n_rows"),

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.functions import text as tx
 from dqspark.operators import coltype, contract, fingerprint, infer, metrics, ranking
 from dqspark.operators.contract import COMPANY
+from dqspark.operators.fpstate import FingerprintStore
 from dqspark.plans import companies as co
 from dqspark.plans.sqltext import count_of, matches, quote, sql, strip
-from dqspark.sources.durable import pin
+from dqspark.sources.durable import pin, shared_folder
 
 # the true type of each column of the given tables, as read by a person
 COLUMN_LABELS = {
@@ -67,6 +70,18 @@ def column_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return prints.select("source", "column", "n_rows", *[F.round(f, 6).alias(f) for f in fingerprint.FEATURES])
 
 
+def fingerprint_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The same fingerprints from stored states of two batches a table."""
+    store = FingerprintStore(spark, f"{shared_folder(spark)}/fingerprints-{uuid.uuid4().hex}")
+    tables = _tables(spark, sf, FP_TABLES)
+    for name, df in tables.items():
+        second = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]), F.lit(2)) == 1
+        store.add(name, df.filter(~second))
+        store.compact(name)
+        store.add(name, df.filter(second))
+    return store.fingerprints(*tables).select("source", "column", "n_rows", *[F.round(f, 6).alias(f) for f in fingerprint.FEATURES])
+
+
 def sample_values(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.sample_values(co.feed(spark, sf), "_seq").withColumn("position", F.col("position").cast("bigint"))
 
@@ -171,6 +186,7 @@ def inferred_contract_passrate(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "column_fingerprint": column_fingerprint,
+    "fingerprint_state": fingerprint_state,
     "sample_values": sample_values,
     "stratified_split": stratified_split,
     "macro_f1": macro_f1,
@@ -288,6 +304,9 @@ ORACLE = {
     "column_fingerprint": sql(
         'SELECT source, "column", n_rows, ' + ", ".join(f"round({e}, 6) AS {n}" for n, e in _FEATURE_SQL.items())
         + " FROM sums", "fx", cells=_CELLS, measured=_MEASURED, sums=_SUMS),
+    "fingerprint_state": sql(
+        'SELECT source, "column", n_rows, ' + ", ".join(f"round({e}, 6) AS {n}" for n, e in _FEATURE_SQL.items())
+        + " FROM sums", "fx", cells=_CELLS, measured=_MEASURED, sums=_SUMS),
     "sample_values": sql(
         """SELECT "column", position, value FROM (
         SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY min(_seq), value) AS position
