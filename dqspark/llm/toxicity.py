@@ -39,6 +39,8 @@ FACTORS = 4
 #: Tasks of a step; each shuffles a dense gradient.
 TASKS = 5
 STEPS = 120
+#: Share of the labelled rows drawn for a step; the steps go through all of them some thirty times.
+BATCH = 0.25
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W_]+")
@@ -164,7 +166,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", weight: s
     points = pin(rows.select(inputs("text").alias("v"), F.col("label").cast("double").alias("label")), "toxicity-points")
     fitted = FMClassifier(
         featuresCol="v", labelCol="label", factorSize=FACTORS, stepSize=0.1, maxIter=STEPS, regParam=1e-4,
-        initStd=0.01, seed=7, tol=1e-5,
+        initStd=0.01, seed=7, tol=1e-5, miniBatchFraction=BATCH,
     ).fit(points.coalesce(TASKS))
     # classes were sampled apart: move from the sample's odds to those of all labels
     shift = prior - math.log((n1 + 0.5) / (n0 + 0.5))
