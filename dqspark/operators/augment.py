@@ -129,14 +129,15 @@ def damage_zip(
     targets = indexed.join(copies, "zip3").select(
         F.col("__i").alias("__target"), F.col("zip3").alias("__zip3"), "__copies"
     )
-    hit = F.lit(True) if where is None else where
-    picked = df.withColumn("__hit", hit).withColumn("__state", F.when(F.col("__hit"), state_clean())).join(
+    # only rows to be damaged go through the joins
+    hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    picked = df.filter(hit).withColumn("__state", state_clean()).join(
         F.broadcast(runs.drop("__all")), F.col("__state") == F.col("__run_state"), "left"
     )
     own, start = F.coalesce("__own", F.lit(0)), F.coalesce("__from", F.lit(0))
     left = size - own
     j = draw(f"{seed}zip3", k) % F.greatest(left, F.lit(1))
-    picked = picked.withColumn("__j", F.when(F.col("__hit") & (left > 0), F.when(j >= start, j + own).otherwise(j)))
+    picked = picked.withColumn("__j", F.when(left > 0, F.when(j >= start, j + own).otherwise(j)))
     picked = picked.join(F.broadcast(targets), F.col("__j") == F.col("__target"), "left").withColumn(
         "__copy", draw(f"{seed}zip", k) % F.greatest(F.col("__copies"), F.lit(1))
     )
@@ -149,7 +150,8 @@ def damage_zip(
         (F.col("__zip3") == F.col("__pool3")) & (F.col("__copy") >= F.col("__lo")) & (F.col("__copy") < F.col("__hi")),
         "left",
     )
-    return swapped.withColumn("zip_code", F.coalesce("__new", "zip_code")).select(*df.columns)
+    done = swapped.withColumn("zip_code", F.coalesce("__new", "zip_code")).select(*df.columns)
+    return done if where is None else done.unionByName(df.filter(~hit))
 
 
 def assign_kinds(df: DataFrame, key: str, reference: DataFrame, share: float, seed: int = SEED) -> DataFrame:
@@ -226,5 +228,5 @@ def labeled_dataset(df: DataFrame, key: str = "company_id", share: float = 800 /
 
 def row_label(df: DataFrame) -> Column:
     """The explicit label where there is one, else whether the row is synthetic."""
-    fallback = F.col("is_synthetic").cast("int")
-    return F.coalesce(F.col("label"), fallback) if "label" in df.columns else fallback
+    known = [F.col(c).cast("int") for c in ("label", "is_synthetic") if c in df.columns]
+    return F.coalesce(*known)

@@ -7,6 +7,7 @@ totals plus a window inside each bucket.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,16 +79,6 @@ def sample_exact_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return flagged.filter(keep).select(*df.columns)
 
 
-def _bucket(value: Column, bounds: list[float], low: int = 0) -> Column:
-    """Index of the bound interval holding ``value``: a binary search written as nested ``when``."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(value < bounds[mid], _bucket(value, bounds[:mid], low)).otherwise(
-        _bucket(value, bounds[mid + 1:], low + mid + 1)
-    )
-
-
 def running_sums(
     df: DataFrame, order: str, sums: list[str], descending: bool = False, buckets: int | None = None
 ) -> DataFrame:
@@ -101,7 +92,12 @@ def running_sums(
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probabilities = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(df.approxQuantile(order, probabilities, 0.25 / buckets))) if buckets > 1 else []
-    placed = df.withColumn("__b", _bucket(F.col(order).cast("double"), bounds))
+    if bounds:
+        splits = [float("-inf"), *bounds, float("inf")]
+        bucketizer = Bucketizer(splits=splits, inputCol="__v", outputCol="__b", handleInvalid="keep")
+        placed = bucketizer.transform(df.withColumn("__v", F.col(order).cast("double"))).drop("__v")
+    else:
+        placed = df.withColumn("__b", F.lit(0.0))
     by_bucket = F.col("__b").desc() if descending else F.col("__b").asc()
     by_value = F.col(order).desc() if descending else F.col(order).asc()
     over_buckets = Window.partitionBy(F.lit(0)).orderBy(by_bucket)
