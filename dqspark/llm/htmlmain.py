@@ -10,8 +10,8 @@
    own best path.
 
 Elements that are not article text are left out wherever they are: menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments (by tag, role, or a word of class or id),
-scripts, styles and hidden elements.
+sidebars, notices, adverts, forms, reader comments (by tag, role, or a word of class or id; ``read`` says when an element left out for a
+word of its name is taken back), scripts, styles and hidden elements.
 
 Text is decoded, white space in a block becomes one space, blocks are joined by a line feed.
 Null or empty html gives an empty text; a null or unreadable url belongs to the host ``''``.
@@ -59,6 +59,8 @@ BESIDE = frozenset(
     "discussion form search login signin signup newsletter subscribe subscription share sharing social related recommended "
     "pagination pager toolbar widget widgets hidden skip copyright".split()
 )
+#: Words that make a name a state of an element: ``no-sidebar``, ``has-comments``, ``comments-open`` name no part of a page.
+STATES = frozenset("no not has have with without open closed is".split())
 #: Words that mark the article.
 CONTENT = frozenset("article content main post entry story body text page".split())
 DECAY = 0.6
@@ -67,7 +69,7 @@ MAX_PATHS = 16
 #: Winning paths are broadcast only up to so many hosts, of a kilobyte or so each.
 BROADCAST_HOSTS = 20_000
 
-_TAG = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"[0-9]+")
@@ -81,11 +83,15 @@ class Page:
     paths: list[str] = field(default_factory=lambda: ["body"])
     weights: list[float] = field(default_factory=lambda: [0.7])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    #: Characters outside links in elements left out for a name, by their place in the page:
+    #: those that also have a name of their own that marks the article, and the others.
+    doubtful: dict[int, int] = field(default_factory=dict)
+    beside: dict[int, int] = field(default_factory=dict)
 
 
-def marks(attributes: str) -> tuple[list[str], set[str], bool]:
-    """Generalised classes, the words of class, id and role, and whether the element is hidden."""
-    classes, tokens, hidden = [], set(), False
+def marks(attributes: str) -> tuple[list[str], list[set[str]], set[str], bool]:
+    """Generalised classes, the words of each class and of the id, those of the role, and whether the element is hidden."""
+    classes, names, role, hidden = [], [], set(), False
     if "=" in attributes or "hidden" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m.group(1).lower(), entities.unescape((m.group(2) or "").strip("\"'"))
@@ -94,18 +100,43 @@ def marks(attributes: str) -> tuple[list[str], set[str], bool]:
             elif name == "style":
                 hidden |= "display:none" in value.replace(" ", "").lower()
             elif name != "aria-hidden":
-                tokens.update(t.lower() for t in _SPLIT.split(value) if t)
+                words = [{t.lower() for t in _SPLIT.split(v) if t} for v in value.split()]
+                if name == "role":
+                    role.update(*words)
+                else:
+                    names += [w for w in words if w.isdisjoint(STATES)]
                 if name == "class":
                     classes = sorted({_DIGITS.sub("#", c.lower()) for c in value.split()})
-    return classes, tokens, hidden
+    return classes, names, role, hidden
 
 
 def read(text: str) -> Page:
-    """One pass over the tags of a page."""
+    """The page; an element left out for a name is taken back in two cases.
+
+    One that also has a name for the article comes back if it holds most of the text outside
+    links, any such element if nothing else on the page has text.
+    """
+    back: set[int] = set()
+    while True:
+        page = scan(text, back)
+        rest = sum(len(block) - linked for _, block, linked in page.blocks)
+        whole = rest + sum(page.doubtful.values())
+        more = {at for at, size in page.doubtful.items() if 2 * size > whole}
+        if not more and not page.blocks:
+            sizes = page.doubtful | page.beside
+            more = {max(sizes, key=lambda at: (sizes[at], -at))} if any(sizes.values()) else set()
+        if not more:
+            return page
+        back |= more
+
+
+def scan(text: str, back: set[int]) -> Page:
+    """One pass over the tags of a page; elements that begin at the places ``back`` are not left out for a name."""
     page = Page()
-    stack: list[tuple[str, int, bool]] = []  # tag, container outside it, dropped outside it
+    # tag, container outside it, what was left out there: None nothing, -1 for good, else where an element for a name began
+    stack: list[tuple[str, int, int | None]] = []
     opened: Counter = Counter()
-    container, dropped, links = 0, False, 0
+    container, dropped, links = 0, None, 0
     parts: list[str] = []
     linked, at, end = 0, 0, len(text)
 
@@ -126,9 +157,11 @@ def read(text: str) -> Page:
     while at < end:
         m = _TAG.search(text, at)
         start = m.start() if m else end
-        if start > at and not dropped:
+        if start > at and dropped is None:
             parts.append(text[at:start])
             linked += (start - at) * (links > 0)
+        elif start > at and dropped >= 0 and not links:
+            (page.doubtful if dropped in page.doubtful else page.beside)[dropped] += len(text[at:start].strip())
         if not m:
             break
         at = m.end()
@@ -137,9 +170,9 @@ def read(text: str) -> Page:
             continue
         tag = tag.lower()
         if m.group(3):
-            if tag in BLOCKS and not dropped:
+            if tag in BLOCKS and dropped is None:
                 flush()
-            if tag == "br" and not dropped:
+            if tag == "br" and dropped is None:
                 parts.append(" ")
             if opened[tag] > 0:
                 while stack[-1][0] != tag:
@@ -147,15 +180,17 @@ def read(text: str) -> Page:
                 pop()
             continue
         if tag in VOID:
-            if not dropped:
+            if dropped is None:
                 flush() if tag == "hr" else parts.append(" " if tag == "br" else "")
             continue
         if tag in RAW:
+            if tag in ("svg", "math") and m.group(5).endswith("/"):
+                continue
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(text, at)
             at = close.end() if close else end
             continue
         if tag in BLOCKS:
-            if not dropped:
+            if dropped is None:
                 flush()
             if opened["p"] > 0:
                 end_open(stack, opened, ("p",), ("td", "th", "button"), pop)
@@ -166,12 +201,20 @@ def read(text: str) -> Page:
         stack.append((tag, container, dropped))
         opened[tag] += 1
         links += tag == "a"
-        if dropped:
+        if dropped == -1:
             continue
-        classes, tokens, hidden = marks(m.group(5)) if m.group(5) else ([], set(), False)
-        content = not tokens.isdisjoint(CONTENT)
-        if tag in DROPPED or hidden or not tokens.isdisjoint(BESIDE) and not (tag in ("article", "main") and content):
-            dropped = True
+        if dropped is not None:
+            dropped = -1 if tag in DROPPED else dropped
+            continue
+        classes, names, role, hidden = marks(m.group(5)) if m.group(5) else ([], [], set(), False)
+        content = any(not w.isdisjoint(CONTENT) for w in names) or not role.isdisjoint(CONTENT)
+        beside = any(not w.isdisjoint(BESIDE) for w in names) and not (tag in ("article", "main") and content)
+        if tag in DROPPED or hidden or not role.isdisjoint(BESIDE):
+            dropped = -1
+        elif beside and start not in back:
+            apart = any(not w.isdisjoint(CONTENT) and w.isdisjoint(BESIDE) for w in names)
+            (page.doubtful if apart else page.beside)[start] = 0
+            dropped = start
         elif tag in CONTAINERS:
             steps = page.paths[container].split(">")[-STEPS + 1 :]
             page.parents.append(container)

@@ -58,3 +58,33 @@ def test_deep_and_long_pages():
     assert text("<div>" * 30_000 + "<p>x") == "x"
     assert len(text("<p>" + "word " * 400_000)) == 1_999_999
     htmlmain.read("<a <b " * 20_000)
+
+
+LINE = "A sentence of the article with quite some words in it, and more."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='content no-sidebar'><p>{LINE}</p></div></body>",
+    f"<body><main class='no-sidebar'><p>{LINE}</p></main></body>",
+    f"<body><div class='main-content sidebar-right'><p>{LINE}</p></div><div class='sidebar'><p>Other words here</p></div></body>",
+    f"<body><div class='post has-comments'><p>{LINE}</p></div></body>",
+    f"<body><article class='comments-open'><p>{LINE}</p></article></body>",
+    f"<body><section class='market-share'><p>{LINE}</p></section><footer>foot</footer></body>",
+    f"<body><article><p><svg width='1'/>{LINE}</p></article></body>",
+    f"<body><article><p><svg width='1'><text>no</text></svg>{LINE}</p></article></body>",
+])
+def test_articles_with_unlucky_names(page):
+    p = htmlmain.read(page)
+    assert htmlmain.extract(p, sorted(htmlmain.scores(p), key=lambda k: -htmlmain.scores(p)[k])) == LINE
+
+
+@pytest.mark.parametrize("tag", ['<a href="x"">', "<img alt=it's>", "<a href=x title='a>b'>", '<br class="a" b = "c>d" />', "<i a='b' \" c>"])
+def test_quotes_open_only_behind_an_equals_sign(tag):
+    page = htmlmain.read(f"<body><article><p>one {tag}two</p><p>three \"four\" it's</p><p>five</p></article></body>")
+    assert [b[1].replace(" ", "") for b in page.blocks] == ["onetwo", "three\"four\"it's", "five"]
+
+
+def test_elements_beside_stay_out():
+    beside = "".join(f"<div class='{c}'><p>{LINE} {LINE} {LINE}</p></div>" for c in ("post-comments", "sidebar", "comments content-footer", "cookie-notice"))
+    page = htmlmain.read(f"<body><article><p>{LINE}</p></article>{beside}<div role='complementary' class='content'><p>{LINE}</p></div></body>")
+    assert [b[1] for b in page.blocks] == [LINE]
