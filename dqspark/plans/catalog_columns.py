@@ -31,7 +31,7 @@ COLUMN_LABELS = {
         "o_totalprice": "numeric_continuous", "o_orderdate": "date", "o_orderpriority": "categorical",
     },
     "lineitem": {
-        "l_linenumber": "categorical", "l_quantity": "numeric_continuous",
+        "l_orderkey": "identifier", "l_partkey": "identifier", "l_suppkey": "identifier", "l_linenumber": "categorical", "l_quantity": "numeric_continuous",
         "l_extendedprice": "numeric_continuous", "l_discount": "numeric_continuous",
         "l_tax": "numeric_continuous", "l_returnflag": "categorical",
         "l_linestatus": "categorical", "l_shipdate": "date",
@@ -43,11 +43,18 @@ COLUMN_LABELS = {
     "supplier": {"s_suppkey": "identifier", "s_name": "identifier", "s_acctbal": "numeric_continuous"},
     "nation": {"n_nationkey": "identifier", "n_name": "geographic", "n_regionkey": "categorical"},
     "region": {"r_regionkey": "identifier", "r_name": "geographic"},
-    "events": {"event_id": "identifier", "event_type": "categorical", "value": "numeric_continuous"},
-    "documents": {"doc_id": "identifier", "text": "free_text", "lang": "categorical", "source": "categorical"},
-    "labels": {"quality": "boolean", "toxic": "boolean"},
+    "events": {
+        "event_id": "identifier", "ts": "date", "user_id": "identifier", "event_type": "categorical",
+        "value": "numeric_continuous", "props": "free_text",
+    },
+    "documents": {
+        "doc_id": "identifier", "text": "free_text", "lang": "categorical", "source": "categorical", "n_chars": "numeric_continuous",
+    },
+    "labels": {"doc_id": "identifier", "quality": "boolean", "toxic": "boolean"},
     "pages": {"page_id": "identifier", "url": "url", "html": "free_text"},
-    "conversations": {"role": "categorical", "text": "free_text"},
+    "conversations": {"conv_id": "identifier", "turn": "numeric_continuous", "role": "categorical", "text": "free_text"},
+    "benchmark": {"item_id": "identifier", "text": "free_text"},
+    "embeddings": {"vec_id": "identifier", "label": "categorical"},
 }
 
 # declared types of the feed's columns, as a prediction would give them

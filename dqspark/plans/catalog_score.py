@@ -225,7 +225,8 @@ _FEATURES = {
     "ends_without_terminal_punct": f"({_D} <> '' AND NOT {matches(_D, rf'[.!?{chr(34)})' + chr(39) + rf'][{tx.SPACE}]*' + chr(92) + 'z')})::INT",
     "trailing_char_class_diversity": " + ".join(f"{matches(_TAIL, c)}::INT" for c in _CLASSES),
     "zip_state_mismatch": "CASE WHEN u._seq IS NULL OR r.state IS NULL THEN -1 WHEN r.state = u.state_clean THEN 0 ELSE 1 END",
-    "contract_violation_count": "0",
+    "contract_violation_count": """((t.company_id IS NULL)::INT + coalesce((t.company_size NOT BETWEEN 1 AND 7)::INT, 0)
+      + coalesce((NOT regexp_matches(t.url, '^[hH][tT][tT][pP][sS]?:/*[^/ ]'))::INT, 1))""",
 }
 _FIRST = """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY _seq) AS rn FROM cln) WHERE rn = 1"""
 _FIRST_REF = """
