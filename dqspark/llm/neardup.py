@@ -246,16 +246,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = pin(
         docs.select(F.col(doc_id).cast("long").alias("node"), text_of(text).alias("text")).join(involved, "node"), "texts"
     )
-    pairs = within_distance(candidate_pairs(members, nodes), nodes)
+    # pairs are written before texts are joined to them: smaller plans take less of the driver
+    pairs = pin(within_distance(candidate_pairs(members, nodes), nodes), "pairs")
     hot = members.filter(F.col("size") > SMALL).select("node").distinct()
     prefix = None
     if not hot.isEmpty():
         prefix = pin(members_of(prefixes(texts.join(hot, "node", "left_semi"))), "prefixes")
-        pairs = pairs.unionAll(candidate_pairs(prefix, nodes)).distinct()
+        pairs = pairs.unionAll(pin(candidate_pairs(prefix, nodes), "prefix-pairs")).distinct()
     links = pin(confirm(pairs, texts).unionAll(one_document(rows)), "links")
     labels = components(links)
     if prefix is not None and not prefix.filter(F.col("size") > SMALL).isEmpty():
-        more = confirm(rest_pairs(prefix, labels), texts)
+        more = confirm(pin(rest_pairs(prefix, labels), "rest-pairs"), texts)
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     judged = named.select(
