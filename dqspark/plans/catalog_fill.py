@@ -107,6 +107,18 @@ def impute_trees_gain(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if("is_test").alias("rows"), F.lit(round(baseline, 9)).alias("baseline_f1"), F.lit(boosted > baseline).alias("boosted_is_better"))
 
 
+def engine_rivals(spark: SparkSession, sf: str) -> DataFrame:
+    """What the engine fills in where it chooses between a baseline and boosted trees and the city settles the value."""
+    rows = pin(co.cleaned(spark, sf).select(
+        F.col("_seq").alias("seq"), "company_size", "country", "state", "city", "zip_code"), "records")
+    rivals = {"company_size": [impute.Baseline("median"), impute.Trees()], "country": [impute.Baseline("mode"), impute.Trees()]}
+    filled, report = impute.run_engine(rows, "seq", rivals)
+    asked = rows.filter((F.col("company_size").isNull() | F.col("country").isNull()) & F.col("city").isNotNull()).select("seq", "city")
+    winners = report.filter("decision = 'benchmarked'").agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "column", "winner"))), " ").alias("winners"))
+    return asked.join(filled.select("seq", "company_size", "country"), "seq").crossJoin(F.broadcast(winners))
+
+
 def impute_stored_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Models fitted on three quarters of the records, stored, read back and applied to the others without a refit."""
     rows = pin(co.cleaned(spark, sf).select(
@@ -228,6 +240,7 @@ QUERIES = {
     "impute_trees_cities": impute_trees_cities,
     "impute_trees_gain": impute_trees_gain,
     "impute_stored_batch": impute_stored_batch,
+    "engine_rivals": engine_rivals,
     "impute_benchmark": impute_benchmark,
     "impute_engine": impute_engine,
     "impute_learned_rows": impute_learned_rows,
@@ -374,6 +387,11 @@ ORACLE = {
     "impute_trees_gain": sql(
         f"""SELECT count(*) FILTER (t) AS rows, round(({_f1('a', '(SELECT v FROM fa)')}), 9) AS baseline_f1, true AS boosted_is_better FROM a""",
         a=_split_sql("company_size"), fa="SELECT CAST(round_even(median(y), 0) AS BIGINT) AS v FROM a WHERE NOT t"),
+    "engine_rivals": sql(
+        """SELECT _seq AS seq, city, coalesce(company_size, 1 + n_nationkey % 7) AS company_size,
+        coalesce(country, CASE WHEN n_regionkey <= 2 THEN 'US' WHEN n_regionkey = 3 THEN 'GB' ELSE 'DE' END) AS country,
+        'company_size:boosted country:boosted' AS winners
+        FROM cln JOIN nation ON n_nationkey = CAST(substr(city, 6) AS INT) WHERE company_size IS NULL OR country IS NULL"""),
     "impute_stored_batch": sql(
         """SELECT *, 'city:group_mode:1 company_size:median:1 country:mode:1 state:group_mode:1 zip_code:group_mode:1' AS versions FROM l3""",
         base="SELECT _seq AS seq, company_size, country, state, city, zip_code FROM cln", one="SELECT * FROM base WHERE seq % 4 <> 0",
