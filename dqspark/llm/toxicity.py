@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,28 +52,28 @@ def terms(word: str) -> tuple[str, ...]:
     return (word, f"4{word[:4]}", f"5{word[:5]}") if len(word) > 3 else (word,)
 
 
-class Slots:
-    """Hashed slots of the words met; the cache is emptied when it is full."""
+class Slots(dict):
+    """Hashed slots of the words met; it is emptied between texts when it is full."""
 
     def __init__(self):
-        self.known = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
         import xxhash
 
-        found = self.known.get(word)
-        if found is None:
-            found = tuple(xxhash.xxh32_intdigest(t) % SLOTS for t in terms(word))
-            if len(self.known) >= _CACHED:
-                self.known.clear()
-            self.known[word] = found
+        self.digest = xxhash.xxh32_intdigest
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        digest = self.digest
+        found = self[word] = tuple([digest(t) % SLOTS for t in terms(word)])
         return found
 
-    def of_text(self, text: str | None) -> list[int]:
-        out: set[int] = set()
-        for w in set(_WORD.findall((text or "").lower())):
-            out.update(self.of_word(w))
-        return sorted(out)
+    def of_text(self, text: str | None) -> np.ndarray:
+        """The distinct slots of a text, ascending."""
+        if len(self) >= _CACHED:
+            self.clear()
+        words = set(_WORD.findall((text or "").lower()))
+        on = set(chain.from_iterable(map(self.__getitem__, words)))
+        out = np.fromiter(on, np.int64, len(on))
+        out.sort()
+        return out
 
 
 @dataclass(eq=False)
@@ -87,19 +88,16 @@ class FactorizationMachine:
         """Probability of the toxic label."""
         if self.linear is None:
             return F.lit(1.0 / (1.0 + math.exp(-self.intercept))) + F.length(text) * 0.0
-        intercept, w, v = self.intercept, self.linear, self.factors
+        intercept, v = self.intercept, self.factors
+        # one row a slot: its weight, its factors, their sum of squares
+        table = np.column_stack([self.linear, v, (v**2).sum(1)])
 
         @F.pandas_udf("double")
         def logit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             lookup = Slots()
             for batch in batches:
-                out = np.full(len(batch), intercept)
-                for i, t in enumerate(batch):
-                    on = lookup.of_text(t)
-                    if on:
-                        both = v[on]
-                        out[i] += w[on].sum() + 0.5 * ((both.sum(0) ** 2).sum() - (both**2).sum())
-                yield pd.Series(out)
+                sums = np.array([table.take(lookup.of_text(t), axis=0).sum(0) for t in batch]).reshape(-1, table.shape[1])
+                yield pd.Series(intercept + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(1) - sums[:, -1]))
 
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit(text)))
 
