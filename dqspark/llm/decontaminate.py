@@ -3,10 +3,11 @@
 An item of L words is compared with windows of L words of the documents.
 
 1. Words are lower-cased in A-Z; a shingle is the 64-bit hash of 5 words in a row (of a
-   shorter text, of all its words).  A window that reaches similarity 0.75 with an item
-   has shingles of it, so only windows that start where a run of shared shingles starts
-   are formed.  Moving a window to the start of its first run never loses a shared
-   shingle, so these windows reach the best overlap.
+   shorter text, of all its words).  Windows are formed at every shared shingle that
+   either starts a run of shared shingles or has a shared shingle in the window's last
+   place.  Some window of these is at least as similar as any other: a window moved right
+   over a shingle that is not shared, or left onto a shared one while its last is not,
+   loses nothing, and what cannot be moved so is formed (or is the text's last window).
 2. Each window and each item has a 64-bit SimHash of its shingles, every occurrence
    weighing one.  Fingerprints are cut into ``BLOCKS`` blocks; an item is filed under every
    block value within ``BLOCK_RADIUS`` bits.  Two fingerprints within ``RADIUS`` bits have
@@ -17,14 +18,15 @@ An item of L words is compared with windows of L words of the documents.
 At similarity 0.75 the fingerprints' distance is binomial with mean 11 of 64; it exceeds
 23 once in 11,000 such pairs.
 
-Null or empty documents and items match nothing; an item under five words matches only a
-document that is that sequence.  Repeated items count as one each; rows of equal text get
-equal results; ids are passed on, null or not.
+Null or empty documents and items match nothing, nor does an empty table; an item under five
+words matches only a document that is that sequence.  Repeated items count as one each; rows
+of equal text get equal results; ids are passed on, null or not.  Texts of any length are cut
+into all their windows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.llm.common import LOWER, UPPER, likely_in, lower_ascii, pin, text_of, words
@@ -37,6 +39,8 @@ BITS = 64 // BLOCKS
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Item shingles and filed blocks are broadcast only up to so many rows of at most 40 bytes.
 BROADCAST_ROWS = 200_000
+#: What a place of a text hears about an item: it is shared, follows a shared one, its window ends with one.
+SHARED, AFTER_SHARED, ENDS_SHARED = 1, 2, 4
 
 
 def shingles(found: Column) -> Column:
@@ -91,23 +95,51 @@ def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     return s.withColumn("fingerprint", simhash(F.col("shingles")))
 
 
-def run_starts(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
-    """(text_hash, size, place): where a run of an item's shingles starts in a text."""
+def window_starts(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """(text_hash, size, place): the windows of a text that can be the most similar to an item.
+
+    Each shared shingle tells three places about itself: its own, the next one, and the one
+    whose window ends with it.  What a place hears is one small number, combined in the tasks.
+    """
     filed = pin(items.select("item_id", "size", F.explode("shingles").alias("h")).distinct(), "item-shingles")
     each = docs.select(F.xxhash64(text_of(text)).alias("text_hash"), words(lower_ascii(text_of(text))).alias("w")).select(
         "text_hash", F.posexplode(shingles(F.col("w"))).alias("place", "h")
     )
-    hits = each.join(checked(filed, filed.count()), "h").select("text_hash", "item_id", "size", "place").distinct()
-    before = F.lag("place").over(Window.partitionBy("text_hash", "item_id", "size").orderBy("place"))
-    return hits.withColumn("before", before).filter("before is null or before < place - 1").select(
-        "text_hash", "size", "place"
-    ).distinct()
+    n = filed.count()
+    if n > BROADCAST_ROWS:  # too many to broadcast: only shingles that may be an item's are moved
+        each = likely_in(each, F.col("h"), filed, "h")
+    hits = each.join(checked(filed, n), "h")
+    tell = lambda place, what: F.struct(place.cast("int").alias("place"), F.lit(what).alias("heard"))
+    told = hits.select("text_hash", "item_id", "size", F.explode(F.array(
+        tell(F.col("place"), SHARED), tell(F.col("place") + 1, AFTER_SHARED), tell(F.col("place") - length_of(F.col("size")) + 1, ENDS_SHARED),
+    )).alias("told")).select("text_hash", "item_id", "size", "told.*")
+    heard = told.groupBy("text_hash", "item_id", "size", "place").agg(F.bit_or("heard").alias("heard"))
+    has = lambda what: F.col("heard").bitwiseAND(F.lit(what)) > 0
+    return heard.filter(has(SHARED) & (~has(AFTER_SHARED) | has(ENDS_SHARED))).select("text_hash", "size", "place").distinct()
+
+
+def length_of(size: Column) -> Column:
+    """Shingles of an item of ``size`` words."""
+    return F.greatest(F.lit(1), size - (SHINGLE - 1))
+
+
+def common_of(a: Column, b: Column) -> Column:
+    """Size of the common multiset; only hashes repeated in both are counted out."""
+
+    def repeated(hashes: Column) -> Column:
+        return let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.get(s, i - 1) == x)))
+
+    times = lambda x, h: F.size(F.filter(x, lambda y: y == h))
+    more = F.aggregate(
+        F.array_intersect(repeated(a), repeated(b)), F.lit(0), lambda n, h: n + F.least(times(a, h), times(b, h)) - 1
+    )
+    return F.size(F.array_intersect(a, b)) + more
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(text_hash, item_id) of every confirmed window."""
     items = pin(items_of(benchmark), "items")
-    starts = pin(run_starts(docs, items, text), "starts")
+    starts = pin(window_starts(docs, items, text), "starts")
     per_text = starts.groupBy("text_hash").agg(F.collect_set(F.struct("size", "place")).alias("starts"))
     texts = docs.select(F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
     # only texts with a hit, and few others, are moved
@@ -115,7 +147,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     cut = touched.select(
         "text_hash", "starts", shingles(words(lower_ascii(F.col("text")))).alias("s")
     ).select("text_hash", "s", F.explode("starts").alias("start"))
-    length = F.greatest(F.lit(1), F.col("start.size") - (SHINGLE - 1))
+    length = length_of(F.col("start.size"))
     first = F.greatest(F.lit(0), F.least(F.col("start.place"), F.size("s") - length))
     window = pin(
         cut.select("text_hash", F.col("start.size").alias("size"), F.slice("s", first + 1, length).alias("window"))
@@ -134,13 +166,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     both = near_pairs.join(checked(known, known.count()), ["item_id", "size", "item_fingerprint"]).join(
         window, ["text_hash", "size", "fingerprint"]
     )
-    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    common = F.aggregate(
-        F.array_distinct("window"), F.lit(0),
-        lambda a, x: a + F.least(times(F.col("window"), x), times(F.col("shingles"), x)),
-    )
     union = F.size("window") + F.size("shingles") - F.col("common")
-    return both.withColumn("common", common).filter(100 * F.col("common") >= 75 * union).select("text_hash", "item_id").distinct()
+    return both.withColumn("common", common_of(F.col("window"), F.col("shingles"))).filter(100 * F.col("common") >= 75 * union).select("text_hash", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,7 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
-#: The same over shingles as text, every window at a run start against every item of its size.
+#: The same over shingles as text, every window that holds a shingle of an item against every item of its size.
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -166,8 +193,8 @@ ds AS (SELECT r, n, m, p, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT r
 bs AS (SELECT item_id, n, m, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT item_id, n, m, w, unnest(range(1, m + 1)) AS p FROM bn)),
 hit AS (SELECT DISTINCT ds.r, bs.item_id, bs.n AS size, bs.m AS length, ds.p, ds.m FROM ds JOIN bs ON ds.g = bs.g),
 start AS (
-  SELECT DISTINCT r, size, length, greatest(1, least(p, m - length + 1)) AS s
-  FROM (SELECT *, lag(p) OVER (PARTITION BY r, item_id ORDER BY p) AS q FROM hit) WHERE q IS NULL OR q < p - 1
+  SELECT DISTINCT r, size, length, greatest(1, least(s, m - length + 1)) AS s
+  FROM (SELECT *, unnest(range(p - length + 1, p + 1)) AS s FROM hit)
 ),
 cw AS (
   SELECT start.r, start.size, start.s, ds.g, count(*) AS c

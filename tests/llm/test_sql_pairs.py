@@ -55,6 +55,48 @@ def test_decontaminate(spark, documents, folder):
     assert not any(out[i]["contaminated"] for i in (81, 83, 84, 86))
 
 
+def every_window(items, docs):
+    """(doc_id, item_id) by the similarity of all item-sized windows, one after another."""
+    from collections import Counter
+
+    cut = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+    found = set()
+    for doc, text in docs:
+        for item, wanted in items:
+            d, b = text.split(), Counter(cut(wanted.split()))
+            size = len(wanted.split())
+            for at in range(max(1, len(d) - size + 1)):
+                a = Counter(cut(d[at : at + size]))
+                if 100 * (a & b).total() >= 75 * (a | b).total():
+                    found.add((doc, item))
+    return found
+
+
+def test_windows_inside_longer_runs(spark, documents, folder):
+    import random
+
+    rng, tail = random.Random(11), " ".join(prose(42, 26))
+    items = [(1, "x " * 14 + tail), (2, tail + " y" * 20)]
+    rows = [(1, "x " * 60 + tail), (2, "x " * 60 + tail + " y" * 60), (3, tail + " y" * 90), (4, tail), (5, "x " * 90)]
+    for i in range(40):  # few words, so runs start, end and repeat everywhere
+        items.append((10 + i, " ".join(rng.choice("abz") * rng.randint(1, 2) for _ in range(rng.randint(6, 40)))))
+        run = items[-1][1].split()
+        cut = run[: rng.randint(1, len(run))] * rng.randint(1, 3) + run[rng.randint(0, 9) :] + list(rng.choice("abz") * rng.randint(0, 60))
+        rows.append((10 + i, " ".join(cut)))
+    path = folder(documents=documents(rows), benchmark=bench(spark, items))
+    out = same_as_sql(queries.op5_decontaminate(spark, path), decontaminate.ORACLE, path, ("documents", "benchmark"))
+    got = {(r["doc_id"], int(i)) for r in out for i in r["item_ids"].split(",") if i}
+    assert got == every_window(items, rows) and {(1, 1), (2, 1), (2, 2), (3, 2)} <= got
+
+
+def test_decontaminate_without_broadcasts(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    items = bench(spark, [(i, " ".join(prose(1000 + i, 30))) for i in range(5)])
+    docs = documents([(i, " ".join(prose(i, 20)) + " " + " ".join(prose(1000 + i, 30))) for i in range(8)])
+    out = {r["doc_id"]: r["item_ids"] for r in decontaminate.decontaminate(docs, items).collect()}
+    assert out == {i: str(i) if i < 5 else "" for i in range(8)}
+
+
 @pytest.mark.parametrize("no_docs", [True, False])
 def test_decontaminate_empty(spark, documents, no_docs):
     docs = documents([] if no_docs else [(1, "a b c d e f")])
