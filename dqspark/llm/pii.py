@@ -56,6 +56,8 @@ _NUMBER = re.compile(r"[A-Za-z]{0,4}[ -]?[0-9](?:[ -]?[0-9])*+", re.ASCII)
 _IBAN_SHAPE = re.compile(r"[A-Za-z]{2}[0-9]{2}[ -]?[A-Za-z0-9]{4}", re.ASCII)
 _SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?=[^\s\"']{8})")
 _UNBROKEN = re.compile(r"[^\s\"']++")
+_BARE = re.compile(r"[^\s\"'&;,)}<>]++")  # an unquoted value also ends where a query or a list goes on
+_NO_WORDS = re.compile(r"\d|[a-z][^\W\d_]*[A-Z]|[^\w.:!?/'’-]|_")
 _AUTHORITY = re.compile(r"([^\s/?#@<>\"]++)@[A-Za-z0-9.-]+")
 _TARGET = re.compile(r"[A-Za-z0-9+().-]{5,}+")
 
@@ -161,9 +163,15 @@ def _word_like(c: str) -> bool:
     return unicodedata.category(c)[0] in "LN"
 
 
+def _random_looking(value: str) -> bool:
+    """Whether an unquoted value is more than words: a digit, capitals after small letters, or a sign words do not hold."""
+    return _NO_WORDS.search(value.rstrip(".:!?")) is not None
+
+
 def _added(text: str, loose: list[int], cues: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
     """Candidates of the added kinds, each checked by its parser."""
-    first = last = 0  # the unbroken run read last; cues inside it share its end
+    first = last = 0  # the run read last; cues inside it share its end and its verdict
+    was_quoted = looks = False
     for at in loose:
         lo, hi = at, at + 1
         while lo > 0 and (_word_like(text[lo - 1]) or text[lo - 1] in "._%+-"):
@@ -205,9 +213,14 @@ def _added(text: str, loose: list[int], cues: list[tuple[int, int, str]]) -> Ite
         else:
             m = _SECRET.match(text, stop)
             if m:
-                if not first <= m.end() < last:
-                    first, last = m.end(), _UNBROKEN.match(text, m.end()).end()
-                yield "secret", m.end(), last
+                lo = m.end()
+                quoted = text[lo - 1] in "\"'"
+                if not (quoted is was_quoted and first <= lo < last):
+                    run = (_UNBROKEN if quoted else _BARE).match(text, lo)
+                    first, last, was_quoted = lo, run.end() if run else lo, quoted
+                    looks = quoted or _random_looking(text[first:last])
+                if looks and last - lo >= 8:
+                    yield "secret", lo, last
 
 
 def _span_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -93,3 +93,11 @@ def test_many_cues_in_one_run_are_read_once():
     began = time.process_time()
     assert pii.mask("token=" * 200_000) == "token=<secret>"
     assert time.process_time() - began < 20
+
+
+def test_plain_words_are_no_secrets():
+    for text in ("password: forgotten", "the token: something", "secret=whatever", "password: \n\n"):
+        assert pii.mask(text) == text
+    assert pii.mask("x.org/?token=abc12345678&page=2&q=long") == "x.org/?token=<secret>&page=2&q=long"
+    assert pii.mask("f(pwd=hunter2hunter2);next()") == "f(pwd=<secret>);next()"
+    assert pii.mask("token: aBcDeFgHiJ and 'secret': 'lettersonly'") == "token: <secret> and 'secret': '<secret>'"
