@@ -18,7 +18,8 @@ is a 16-millionth of it.
 
 Tokens are words.  Documents without words are left out.  Null languages and sources count
 as the empty name, null ids as the empty id.  Rows with equal id and size are ordered
-arbitrarily, which changes no result.  An empty table gives an empty mix.
+arbitrarily, which changes no result; where they must be told apart, carry a column that does.
+An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -36,13 +37,13 @@ SEED = 17
 DIGITS, ROUNDS = 2, 3
 
 
-def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, domain, lang, source, tokens) of every row with words."""
+def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, domain, lang, source, tokens) of every row with words, and the columns to carry."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     domain = name("domain") if "domain" in docs.columns else F.regexp_extract(name("source"), "^[A-Za-z]*", 0)
     return docs.select(
         F.col(doc_id).alias("doc_id"), domain.alias("domain"), name("lang").alias("lang"), name("source").alias("source"),
-        F.size(words(text_of(text))).cast("long").alias("tokens"),
+        F.size(words(text_of(text))).cast("long").alias("tokens"), *carry,
     ).filter("tokens > 0")
 
 
@@ -102,26 +103,31 @@ def budgets(
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: tuple[int, int] = BUDGET_SHARE,
     max_epochs: int = MAX_EPOCHS, targets: dict[tuple[str, ...], int] | None = None, seed: int = SEED,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, domain, lang, source, epoch, tokens, taken): each time a document is taken, and how much of it."""
-    rows = pin(measured(docs, doc_id, text), "measured")
+    """(doc_id, domain, lang, source, epoch, tokens, taken): each time a document is taken, and how much of it.
+
+    Columns in ``carry`` are passed on and tell rows of one id apart in the order of the last epoch.
+    """
+    rows = pin(measured(docs, doc_id, text, carry), "measured")
     leaf = list(LEVELS)
     plan = pin(budgets(rows, share, max_epochs, targets).select(
         *leaf, F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("rest")), "plan")
     with_plan = rows.join(plan, leaf)
     whole = with_plan.filter("full > 0").select(
-        "doc_id", *leaf, F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("taken")
+        "doc_id", *leaf, F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("taken"), *carry
     )
     key = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("full").cast("string"),
-                            F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    out = ["doc_id", *leaf, F.col("full").alias("epoch"), "tokens", "taken"]
+                            F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                            *[F.col(c).cast("string") for c in carry]).cast("binary"))
+    out = ["doc_id", *leaf, F.col("full").alias("epoch"), "tokens", "taken", *carry]
     at_edge = pin(with_plan.filter("rest > 0").withColumns({"key": key, "base": F.lit(0).cast("long")}), "last-epoch")
     parts = []
     for i in range(ROUNDS):
         inside, at_edge = split_at(at_edge, leaf, F.substring("key", DIGITS * i + 1, DIGITS))
         parts.append(inside)
         at_edge = pin(at_edge, "edge")
-    order = Window.partitionBy(*leaf).orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*leaf).orderBy("key", "tokens", *carry).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("base") - F.coalesce(F.sum("tokens").over(order), F.lit(0))
     edge = at_edge.withColumn("taken", F.least("tokens", left)).filter("taken > 0")
     for part in (*parts, edge):
