@@ -106,19 +106,22 @@ class FactorizationMachine:
         return docs.select(F.col(doc_id).alias("doc_id"), self.score(text_of(text)).alias("score"))
 
 
-def slot_counts(rows: DataFrame) -> np.ndarray:
-    """Documents by label (0, 1) and slot; each task adds up its own rows first."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup, seen = Slots(), np.zeros((2, SLOTS), dtype=np.int64)
-        for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                seen[label, lookup.of_text(text)] += 1
-        slot = np.flatnonzero(seen.sum(0))
-        yield pd.DataFrame({"slot": slot, "toxic": seen[1, slot], "other": seen[0, slot]})
-
-    part = rows.select("text", "label").mapInPandas(count, "slot int, toxic long, other long")
-    found = part.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()
+def _slot_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    lookup = Slots()
+    for batch in batches:
+        yield pd.Series([lookup.of_text(t).astype(np.int32) for t in batch])
+
+
+def slots_of(text: Column) -> Column:
+    """Slots of a text, ascending."""
+    return F.pandas_udf(_slot_batches, "array<int>")(text)
+
+
+def slot_counts(points: DataFrame) -> np.ndarray:
+    """Documents by label (0, 1) and slot, from rows of (on, label); each task adds up its own rows first."""
+    found = points.select("label", F.explode("on").alias("slot")).groupBy("slot").agg(
+        F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("other")
+    ).toPandas()
     out = np.zeros((2, SLOTS))
     out[1, found["slot"]], out[0, found["slot"]] = found["toxic"], found["other"]
     return out
@@ -142,7 +145,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", weight: s
     """Fit on rows of (text, label 0/1, weight)."""
     rows = pin(
         labelled.filter(F.col(label).isin(0, 1)).select(
-            text_of(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(weight).cast("double").alias("weight")
+            slots_of(text_of(text)).alias("on"), F.col(label).cast("int").alias("label"), F.col(weight).cast("double").alias("weight")
         ),
         "toxicity-labelled",
     )
@@ -154,14 +157,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", weight: s
     prior = math.log((w1 + 0.5) / (w0 + 0.5))
     if not (n1 and n0):
         return FactorizationMachine(intercept=prior)
-    scale, lookup = scales(slot_counts(rows), n1, n0), Slots()
+    scale = scales(slot_counts(rows), n1, n0)
 
     @F.udf(VectorUDT())
-    def inputs(text: str) -> SparseVector:
-        on = lookup.of_text(text)
+    def inputs(on: list[int]) -> SparseVector:
         return SparseVector(SLOTS, on, scale[on])
 
-    points = pin(rows.select(inputs("text").alias("v"), F.col("label").cast("double").alias("label")), "toxicity-points")
+    points = pin(rows.select(inputs("on").alias("v"), F.col("label").cast("double").alias("label")), "toxicity-points")
     fitted = FMClassifier(
         featuresCol="v", labelCol="label", factorSize=FACTORS, stepSize=0.1, maxIter=STEPS, regParam=1e-4,
         initStd=0.01, seed=7, tol=1e-5, miniBatchFraction=BATCH,
