@@ -53,15 +53,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the amounts the budgets ask for, with ``epoch`` and ``taken`` tokens.
 
     Where a budget ends inside a document, its text is the first ``taken`` words with single
-    spaces.  Rows that repeat an id are one document here.
+    spaces.  Rows that repeat an id are one document here; rows without an id are one each.
     """
-    taken = mixing.mix(docs).select(
-        F.col("doc_id").alias("_mix_id"), F.col("tokens").alias("_mix_tokens"), "epoch", "taken"
-    ).distinct()
     own = [c for c in docs.columns if c not in ("epoch", "taken")]
+    rows = docs.select(*own).withColumn("_mix_row", F.lit(None).cast("long"))
+    if not docs.filter("doc_id is null").isEmpty():  # numbered once and written, so that the numbers stay
+        loose = docs.filter("doc_id is null").select(*own, F.monotonically_increasing_id().alias("_mix_row"))
+        rows = rows.filter("doc_id is not null").unionAll(pin(loose, "rows-without-id"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("_mix_row").cast("string")))
+    taken = mixing.mix(rows, carry=("_mix_row",)).select(
+        key.alias("_mix_key"), F.col("tokens").alias("_mix_tokens"), "epoch", "taken"
+    ).distinct()
     found = words(text_of("text"))
-    joined = docs.select(*own).join(
-        taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.size(found) == F.col("_mix_tokens"))
+    joined = rows.withColumn("_mix_own", key).join(
+        taken, (F.col("_mix_own") == F.col("_mix_key")) & (F.size(found) == F.col("_mix_tokens"))
     )
     cut = F.when(F.col("taken") < F.col("_mix_tokens"), F.array_join(F.slice(found, 1, F.col("taken").cast("int")), " "))
     return joined.withColumn("text", F.coalesce(cut, F.col("text"))).select(*own, "epoch", "taken")
