@@ -56,6 +56,14 @@ def test_run_equals_stages(spark, documents, folder):
     assert key(cp.run(spark, path)) == key(docs)
 
 
+def test_budget_holds_without_ids(spark, documents):
+    docs = documents([(None, "w " * 10)] * 20)
+    out = cp.mix_sources(spark, docs, "").collect()
+    assert sum(r["taken"] for r in out) == 120 and sum(len(r["text"].split()) for r in out) == 120
+    again = documents([(None, "w " * 10)] * 20 + [(i, "w " * 10) for i in range(20)])
+    assert sum(r["taken"] for r in cp.mix_sources(spark, again, "").collect()) == 240
+
+
 def test_empty(spark, documents, folder):
     assert cp.run(spark, tables(spark, documents, folder, [])).count() == 0
 
