@@ -8,10 +8,12 @@ Across texts: lines are normalised (lower case, white space to one space, digits
 hashed.  For each host the distinct texts that hold a line are counted; exact copies of a
 text count once, so copying alone makes no boilerplate.  A line held by at least
 ``MIN_TEXTS`` texts and by more than ``SHARE`` of a host's texts is removed there, and a
-text that loses more than half of its words is depleted and rejected.
+text that loses more than half of its words is depleted and rejected.  ``judge`` gives the
+verdicts and the words removed, ``clean_texts`` the texts without those lines.
 
 Null texts have no words, so they fail; null hosts are one host of their own.  Rows are
-judged by host and text, so repeated rows give repeated results.  Ids are only passed on.
+judged by host and text, so repeated rows give repeated results.  Ids are only passed on,
+further columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.llm.common import GAP, GAP_CHARS, pin, text_of, words
+from dqspark.operators.lookup import look_up
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
@@ -98,24 +101,51 @@ def common_lines(lines: DataFrame, min_texts: int = MIN_TEXTS, share: float = SH
     return held.join(texts, "host").filter(F.col("holders") > share * F.col("texts")).select("host", "line")
 
 
-def depleted_texts(lines: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
-    """(host, text_hash) of texts that lose more than half of their words with the common lines."""
-    common = pin(common_lines(lines, min_texts, share), "common-lines")
-    if common.count() <= BROADCAST_ROWS:
-        common = F.broadcast(common)
-    lost = lines.join(common.withColumn("gone", F.lit(True)), ["host", "line"], "left")
-    return lost.groupBy("host", "text_hash").agg(
-        F.sum("n").alias("words"), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("removed")
-    ).filter(2 * F.col("removed") > F.col("words")).select("host", "text_hash")
+def common_in(lines: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
+    """The rows of ``lines`` whose line is removed; lines of a host are spread where the list is long."""
+    return look_up(lines, common_lines(lines, min_texts, share), ["host", "line"], "inner", BROADCAST_ROWS)
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row per input row: base measures, ``base_failed`` and ``kept``."""
+def losses(lines: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
+    """(host, text_hash, removed, depleted) of texts that lose words with the common lines."""
+    lost = common_in(lines, min_texts, share).groupBy("host", "text_hash").agg(F.sum("n").alias("removed"))
+    words_of = lines.groupBy("host", "text_hash").agg(F.sum("n").alias("words"))
+    return words_of.join(lost, ["host", "text_hash"]).select(
+        "host", "text_hash", "removed", (2 * F.col("removed") > F.col("words")).alias("depleted")
+    )
+
+
+def judge(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE,
+) -> DataFrame:
+    """One row per input row: base measures, ``n_removed_words``, ``base_failed`` and ``kept``."""
     lines = pin(line_table(docs, text, host), "lines")
-    gone = depleted_texts(lines).withColumn("depleted", F.lit(True))
-    return base(docs, doc_id, text, host).join(gone, ["host", "text_hash"], "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("depleted").isNull()).alias("kept"),
+    return look_up(base(docs, doc_id, text, host), losses(lines, min_texts, share), ["host", "text_hash"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("n_removed_words"), "base_failed",
+        (~F.col("base_failed") & ~F.coalesce(F.col("depleted"), F.lit(False))).alias("kept"),
+    )
+
+
+def clean_texts(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE,
+) -> DataFrame:
+    """(doc_id, text): every row's text without its common lines, the others in their order.
+
+    Lines without words stay, and a text that holds no common line stays as it is, null
+    too.  A text that is all common lines becomes empty.  Depleted texts are cleaned like
+    the others; ``judge`` tells which they are.
+    """
+    lines = pin(line_table(docs, text, host), "lines")
+    gone = common_in(lines, min_texts, share).groupBy("host", "text_hash").agg(F.collect_set("line").alias("gone"))
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"),
+        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_of(text)).alias("text_hash"),
+    )
+    stays = lambda x: (F.btrim(x, F.lit(GAP_CHARS)) == "") | ~F.array_contains("gone", F.xxhash64(normalised(x)))
+    cleaned = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
+    return look_up(rows, gone, ["host", "text_hash"]).select(
+        "doc_id", F.when(F.col("gone").isNotNull(), cleaned).otherwise(F.col("text")).alias("text")
     )
 
 
@@ -153,10 +183,11 @@ WITH d AS (
   SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(w.t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(lost.gone, 0) AS BIGINT) AS n_removed_words,
     coalesce(2 * lost.gone > lost.n, false) AS depleted
   FROM w LEFT JOIN rep ON w.r = rep.r LEFT JOIN dup ON w.r = dup.r LEFT JOIN lost ON w.r = lost.r
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT depleted AS kept
 FROM m

@@ -31,7 +31,23 @@ def test_line_rules(spark, documents, folder):
 
 
 def test_line_rules_empty(documents):
-    assert linerules.judge(documents([])).count() == 0
+    assert linerules.judge(documents([])).count() == 0 and linerules.clean_texts(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 20_000])
+def test_common_lines_leave_the_texts(documents, monkeypatch, limit):
+    from dqspark.operators import lookup
+
+    monkeypatch.setattr(linerules, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit)
+    own = [" ".join(prose(i, 40)) for i in range(15)]
+    rows = [(i, f"Menu  one\n{t}\n\n menu ONE \nfooter 20{i:02}", "en", "h") for i, t in enumerate(own)]
+    rows += [(50, "menu one", "en", "h"), (51, None, "en", "h"), (52, "", "en", "h"), (53, "Menu one\nelse", "en", None), (0, rows[0][1], "en", "h")]
+    out = sorted(((r["doc_id"], r["text"]) for r in linerules.clean_texts(documents(rows), min_texts=3, share=0.5).collect()), key=str)
+    want = [(i, f"{t}\n") for i, t in enumerate(own)] + [(0, f"{own[0]}\n"), (50, ""), (51, None), (52, ""), (53, "Menu one\nelse")]
+    assert out == sorted(want, key=str)
+    judged = {r["doc_id"]: r for r in linerules.judge(documents(rows), min_texts=3, share=0.5).collect()}
+    assert judged[3]["n_removed_words"] == 6 and judged[53]["n_removed_words"] == 0 and judged[50]["n_removed_words"] == 2
 
 
 def bench(spark, rows):
