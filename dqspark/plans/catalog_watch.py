@@ -110,7 +110,7 @@ def review_table(records: DataFrame) -> DataFrame:
 
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     records = pin(quarantine_table(spark, sf), "records")
-    queue = review.review_queue(records, review_table(records))
+    queue = review.review_queue(records, review_table(records), review.PAGE)
     return queue.select("record_id", F.round("score", 6).alias("score"), F.col("features")["name_len"].alias("name_len"),
                         F.get_json_object("raw_data", "$.company_id").alias("company_id"))
 
