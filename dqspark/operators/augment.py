@@ -158,16 +158,17 @@ def assign_kinds(df: DataFrame, key: str, reference: DataFrame, share: float, se
     """Add ``corruption_type``: disjoint groups of ``share`` of the rows each, zip swaps first.
 
     Groups are cut in hash order by the n-th key, so nothing but counts and a
-    few cut values is shuffled.
+    few cut values is shuffled.  The cut values are written; the rows get their
+    kind as they are read.
     """
     quota = df.agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("n"))
     marked = with_eligibility(df, reference)
     eligible = marked.filter("eligible").select(key, F.lit("zip").alias("__g"))
     n_eligible = eligible.agg(F.count(F.lit(1))).scalar()
     want_zip = quota.select(F.lit("zip").alias("__g"), F.least(F.col("n"), n_eligible).alias("n"))
-    cut = nth_by_hash(eligible, "__g", want_zip, f"{seed}zip", key).select(
+    cut = pin(nth_by_hash(eligible, "__g", want_zip, f"{seed}zip", key).select(
         "__g", F.col("cut_hash").alias("__zh"), F.col("cut_key").alias("__zk")
-    )
+    ).coalesce(1), "cut")
     tagged = marked.withColumn("__g", F.when(F.col("eligible"), "zip")).join(F.broadcast(cut), "__g", "left")
     tagged = tagged.withColumn(
         "__zip", F.col("eligible") & at_or_before(f"{seed}zip", F.col(key), F.col("__zh"), F.col("__zk"))
@@ -184,9 +185,9 @@ def assign_kinds(df: DataFrame, key: str, reference: DataFrame, share: float, se
     def cut_at(times: int, column: str) -> Column:
         return F.max(F.when(F.col("n") == F.col("__quota") * times, F.col(column)))
 
-    row = cuts.groupBy("__g").agg(*[
+    row = pin(cuts.groupBy("__g").agg(*[
         cut_at(t, c).alias(f"__{c}_{t}") for t in (1, 2, 3) for c in ("cut_hash", "cut_key")
-    ])
+    ]).coalesce(1), "cuts")
     k = F.col(key)
     below = {t: at_or_before(f"{seed}rest", k, F.col(f"__cut_hash_{t}"), F.col(f"__cut_key_{t}")) for t in (1, 2, 3)}
     kinds = (
@@ -200,13 +201,18 @@ def assign_kinds(df: DataFrame, key: str, reference: DataFrame, share: float, se
     )
 
 
-def labeled_rows(df: DataFrame, key: str = "company_id", share: float = 800 / 24473, seed: int = SEED) -> DataFrame:
-    """Rows with ``corruption_type``, ``is_synthetic``, ``label`` and the features after damage."""
-    # counts, cuts and damage all read the table, so it is written once; so is the assignment
-    df = pin(df, "rows")
+def labeled_rows(
+    df: DataFrame, key: str = "company_id", share: float = 800 / 24473, seed: int = SEED, written: bool = False
+) -> DataFrame:
+    """Rows with ``corruption_type``, ``is_synthetic``, ``label`` and the features after damage.
+
+    ``written`` says that ``df`` is a written table.
+    """
+    # counts, cuts and damage all read the table, so it is written once
+    df = df if written else pin(df, "rows")
     reference = pin(zip3_reference(df), "zip3")
-    pool = zip3_pool(df, reference)
-    typed = pin(assign_kinds(df, key, reference, share, seed), "kinds")
+    pool = pin(zip3_pool(df, reference), "pool")
+    typed = assign_kinds(df, key, reference, share, seed)
     kind = F.col("corruption_type")
     # one pass: each damage touches only its own rows, the others flow through
     rows = damage_zip(typed, key, reference, pool, seed, kind == "zip_state_mismatch")
@@ -219,9 +225,11 @@ def labeled_rows(df: DataFrame, key: str = "company_id", share: float = 800 / 24
     })
 
 
-def labeled_dataset(df: DataFrame, key: str = "company_id", share: float = 800 / 24473, seed: int = SEED) -> DataFrame:
+def labeled_dataset(
+    df: DataFrame, key: str = "company_id", share: float = 800 / 24473, seed: int = SEED, written: bool = False
+) -> DataFrame:
     """Key, labels and features only."""
-    return labeled_rows(df, key, share, seed).select(
+    return labeled_rows(df, key, share, seed, written).select(
         key, "is_synthetic", "label", "corruption_type", *ROW_FEATURES
     )
 

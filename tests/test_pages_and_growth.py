@@ -1,7 +1,16 @@
 """Results that differ only on larger tables, and steps whose work must not grow faster than the input."""
 
+import string
+import unicodedata
+
 import check
 import pytest
+from pyspark.sql import functions as F
+
+from dqspark.functions import chars
+from dqspark.operators import augment, clean, rowfeat
+from dqspark.plans import catalog_score, companies
+from dqspark.sources import durable
 
 
 @pytest.mark.parametrize("name", ["review_queue"])
@@ -9,3 +18,49 @@ def test_rows_equal_on_more_than_a_page(spark, name):
     sf = "/root/testdata/sf0.1"
     ok, note = check.compare(spark, check.database(sf), name, sf)
     assert ok, note
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_of_odd_texts(spark):
+    texts = ["", " \t ", "Ab9 é²٣", "x\x85y  12-3\n", "😀 ÉÉ\x1c1", None, "中文 7", "a" * 300]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r["i"]: r["c"] for r in rows.select("i", chars.counts(F.col("t")).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert all(v is None for v in got[i])
+            continue
+        words = t.split()
+        want = (
+            len(t), sum(c.isalpha() for c in t), sum(c.isdigit() for c in t), sum(c in string.punctuation for c in t),
+            sum(c.isspace() for c in t), sum(unicodedata.category(c) == "Lu" for c in t),
+            sum(not (" " <= c <= "~" or "\t" <= c <= "\r") for c in t),
+            sum(c.isdigit() and not (k and t[k - 1].isdigit()) for k, c in enumerate(t)), len(words), sum(len(w) ** 2 for w in words),
+        )
+        assert tuple(got[i]) == want
+
+
+def test_long_texts_go_through_no_pattern_twice(spark):
+    """Cleaning computed each text twice, features asked some hundred ranges for every character."""
+    rows = spark.createDataFrame([("a b",)], "description string")
+    assert _plan(clean.normalize_text_columns(rows, ["description"])).count("regexp_replace") == 0
+    full = spark.createDataFrame([], "company_id bigint, name string, description string, company_size bigint, state string, "
+                                 "country string, city string, zip_code string, address string, url string")
+    reference = spark.createDataFrame([], "zip3 string, state string, n bigint")
+    plan = _plan(rowfeat.row_features(full, reference).select("description_frac_digit"))
+    assert "regexp" not in plan
+
+
+def test_rows_are_cleaned_and_written_once(spark, monkeypatch):
+    """Training and scoring each cleaned the feed, and the labeled rows wrote it twice more."""
+    calls, written = [], []
+    real, pinned = companies.cleaned, durable.pin
+    monkeypatch.setattr(companies, "cleaned", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(augment, "pin", lambda df, name="step": written.append((name, df.columns)) or pinned(df, name))
+    monkeypatch.setattr(catalog_score, "TREES", 2)
+    monkeypatch.setattr(catalog_score, "ROUNDS", 1)
+    catalog_score.score_and_route(spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 1
+    assert not [n for n, columns in written if "description" in columns]
