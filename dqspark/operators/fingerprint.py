@@ -13,7 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dqspark.functions import chars
 from dqspark.functions import text as tx
+from dqspark.sources.durable import pin
 
 # --- fixed values: feature order ---------------------------------------------
 FEATURES = (
@@ -26,6 +28,11 @@ FEATURES = (
 )
 # ------------------------------------------------------------------------------
 _LONG = 96
+#: Types whose values never have more than ``_LONG`` characters as text.
+_SHORT_TYPES = (
+    "tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean", "date", "timestamp", "timestamp_ntz",
+)
+_COUNTED = ("chars", "alpha", "digit", "space", "upper", "digit_runs", "tokens", "token_squares")
 
 
 def unpivot(df: DataFrame, columns: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -47,66 +54,42 @@ MEASURES = (
 def measure(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """Add what the value in ``text`` contributes to the sums, null where it is null.
 
-    All integers, so addition order cannot matter.  Most texts hold nothing but
-    ASCII and letters; one look decides whether the short ASCII classes do.
-    Results used twice become columns first, so no pass over a text repeats.
+    All integers, so addition order cannot matter.  Characters and words are counted over
+    Arrow batches; the anchored patterns end at the first character that does not fit.
     """
     v = F.col(text)
-
-    def name(k: str) -> str:
-        return f"{prefix}{k}"
-
-    def either(wide: Column, plain: Column) -> Column:
-        return F.when(F.col(name("odd")), wide).otherwise(plain)
-
-    blanks, digits = f"[{tx.SPACE}]", tx.digit_class()
-    length = F.length(v)
-    looked = df.withColumn(name("odd"), v.rlike(tx.BEYOND_PLAIN))
-    # every run of blanks becomes one space, every run of digits one zero
-    short = looked.withColumns({
-        name("line"): either(
-            F.regexp_replace(v, blanks + "+", " "), F.regexp_replace(v, tx.ASCII_SPACE + "+", " ")
-        ),
-        name("runs_in"): either(F.regexp_replace(v, digits + "+", "0"), F.regexp_replace(v, "[0-9]+", "0")),
-    })
-    line, runs_in = F.col(name("line")), F.col(name("runs_in"))
-    split = short.withColumns({
-        name("parts"): F.split(line, " "),
-        name("runs"): F.length(runs_in) - F.length(F.replace(runs_in, F.lit("0"), F.lit(""))),
-    })
-    parts, runs = F.col(name("parts")), F.col(name("runs"))
-    token_chars = F.length(line) - F.size(parts) + 1
-    edges = (F.element_at(parts, 1) == "").cast("int") + (F.element_at(parts, -1) == "").cast("int")
+    counted = df.withColumn(f"{prefix}in", chars.counts(v, _COUNTED))
+    inside = F.col(f"{prefix}in")
     columns = {
-        "chars": length,
-        "alpha": tx.count_of(v, r"\p{L}"),
-        "digit": length - F.length(runs_in) + runs,
-        "space": length - token_chars,
-        "upper": tx.count_of(v, r"\p{Lu}"),
-        "tokens": F.size(parts) - edges,
-        "token_chars": token_chars,
-        "token_squares": F.aggregate(
-            parts, F.lit(0).cast("bigint"), lambda a, t: a + F.length(t).cast("bigint") * F.length(t)
-        ),
-        "digit_pairs": length - F.length(runs_in),
-        "pairs": length - 1,
+        "chars": inside["chars"], "alpha": inside["alpha"], "digit": inside["digit"], "space": inside["space"],
+        "upper": inside["upper"], "tokens": inside["tokens"], "token_chars": inside["chars"] - inside["space"],
+        "token_squares": inside["token_squares"],
+        "digit_pairs": inside["digit"] - inside["digit_runs"],
+        "pairs": inside["chars"] - 1,
         "email": v.rlike(tx.EMAIL),
         "url": v.rlike(tx.URL_SHAPE_ANY_CASE),
         "date": v.rlike(tx.DATE_SHAPE),
         "numeric": v.rlike(tx.NUMERIC),
         "parse": v.rlike(tx.FLOAT),
     }
-    return split.select(
+    return counted.select(
         *df.columns,
-        *[F.when(v.isNotNull(), columns[k].cast("bigint")).alias(name(k)) for k in MEASURES],
+        *[F.when(v.isNotNull(), columns[k].cast("bigint")).alias(f"{prefix}{k}") for k in MEASURES],
     )
 
 
-def value_table(cells: DataFrame) -> DataFrame:
-    """Distinct (column, value) with its count ``n`` and measures; null and empty share a null key."""
-    value = F.nullif(F.col("value"), F.lit(""))
+def value_table(cells: DataFrame, all_short: bool = False) -> DataFrame:
+    """Distinct (column, value) with its count ``n`` and measures; null and empty share a null key.
+
+    ``all_short`` says that no value has over 96 characters: cells are then only counted.
+    """
+    value = F.when(F.col("value") != "", F.col("value"))
+    keyed = cells.select("column", value.alias("value"))
+    if all_short:
+        distinct = keyed.groupBy("column", F.col("value").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        return measure(distinct.withColumn("text", F.col("key")), "text", "").select("column", "key", "n", *MEASURES)
     is_long = F.coalesce(F.length("value") > _LONG, F.lit(False))
-    keyed = cells.select("column", value.alias("value")).select(
+    keyed = keyed.select(
         "column", is_long.alias("is_long"), tx.shuffle_key(F.col("value")).alias("key"),
         F.when(is_long, F.col("value")).alias("text"),
     )
@@ -120,6 +103,18 @@ def value_table(cells: DataFrame) -> DataFrame:
     )
 
 
+def table_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The value table of a table; columns whose type has short texts only are spared the search for long ones."""
+    kinds = dict(df.dtypes)
+    columns = columns or df.columns
+    short = [c for c in columns if kinds[c].split("(")[0] in _SHORT_TYPES]
+    parts = [
+        value_table(unpivot(df, names), all_short)
+        for names, all_short in (([c for c in columns if c not in short], False), (short, True)) if names
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _std(squares: Column, total: Column, n: Column) -> Column:
     mean = total / n
     return F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean))
@@ -133,7 +128,7 @@ def merge_values(tables: list[DataFrame]) -> DataFrame:
 
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: ``column``, ``n_rows`` and the 19 features."""
-    return fingerprint_values(value_table(unpivot(df, columns)))
+    return fingerprint_values(table_values(df, columns))
 
 
 def fingerprint_values(values: DataFrame) -> DataFrame:
@@ -226,6 +221,7 @@ def fingerprint_dataset(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def label_fingerprints(prints: DataFrame, labels: DataFrame) -> DataFrame:
     """Fingerprints with their confirmed label; a label without a fingerprint is an error."""
+    prints = pin(prints, "prints")  # read by the check and by the join
     orphan = labels.join(prints, ["source", "column"], "left_anti").limit(1).collect()
     if orphan:
         raise KeyError(f"no fingerprint for {orphan[0]['source']}.{orphan[0]['column']}")

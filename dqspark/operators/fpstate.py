@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.operators.fingerprint import FEATURES, fingerprint_values, label_fingerprints, merge_values, unpivot, value_table
+from dqspark.operators.fingerprint import FEATURES, fingerprint_values, label_fingerprints, merge_values, table_values
 from dqspark.sources.files import _exists
 
 
@@ -46,7 +46,7 @@ class FingerprintStore:
         if any(e["batch"] == batch for e in entries):
             raise ValueError(f"batch {batch} of {name} was added before")
         path = f"{self.root}/{name}/values/batch={uuid.uuid4().hex}"
-        value_table(unpivot(df, columns)).write.parquet(path)
+        table_values(df, columns).write.parquet(path)
         self._enter(name, len(entries), batch, path, False)
         return batch
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dqspark.functions import chars
-from dqspark.operators import augment, clean, rowfeat
+from dqspark.operators import augment, clean, fingerprint, rowfeat
 from dqspark.plans import catalog_score, companies
 from dqspark.sources import durable
 
@@ -64,3 +64,21 @@ def test_rows_are_cleaned_and_written_once(spark, monkeypatch):
     catalog_score.score_and_route(spark, "/root/testdata/sf0.001").collect()
     assert len(calls) == 1
     assert not [n for n, columns in written if "description" in columns]
+
+
+def test_fingerprints_are_computed_once_for_their_labels(spark, tmp_path):
+    """The check of the labels and the join each computed all fingerprints; numbers went through the search for long texts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def met(value):
+        seen.add(1)
+        return value
+
+    rows = spark.range(50).coalesce(1).select(F.col("id").cast("string").alias("t")).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t")).select(met("t").alias("t"))
+    prints = fingerprint.fingerprint(rows).select(F.lit("a").alias("source"), "*")
+    labels = spark.createDataFrame([("a", "t", "identifier")], "source string, column string, label string")
+    got = fingerprint.label_fingerprints(prints, labels).collect()
+    assert [(r["column"], r["n_rows"], r["label"]) for r in got] == [("t", 50, "identifier")] and seen.value == 50
+    assert "sha2" not in _plan(fingerprint.table_values(spark.range(3)))
