@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dqspark.functions import chars
-from dqspark.operators import augment, clean, fingerprint, rowfeat
-from dqspark.plans import catalog_score, companies
+from dqspark.operators import augment, clean, fingerprint, impute, rowfeat
+from dqspark.plans import catalog_score, companies, run
 from dqspark.sources import durable
 
 
@@ -82,3 +82,20 @@ def test_fingerprints_are_computed_once_for_their_labels(spark, tmp_path):
     got = fingerprint.label_fingerprints(prints, labels).collect()
     assert [(r["column"], r["n_rows"], r["label"]) for r in got] == [("t", 50, "identifier")] and seen.value == 50
     assert "sha2" not in _plan(fingerprint.table_values(spark.range(3)))
+
+
+def test_long_texts_are_not_written_with_every_fill(spark, company, tmp_path, monkeypatch):
+    longest, pinned = [], impute.pin
+
+    def spy(df, name="step"):
+        if name.startswith("fill-"):
+            longest.append(df.agg(F.max(F.length("description"))).first()[0])
+        return pinned(df, name)
+
+    monkeypatch.setattr(impute, "pin", spy)
+    text = "long " * 200 + "end."
+    rows = company(*[{"company_id": str(i), "company_size": str(1 + i % 4), "description": f"{i} {text}", **({"state": None} if i % 3 == 0 else {})} for i in range(9)])
+    report = run.run_batch(rows, str(tmp_path / "c"), str(tmp_path / "q"))
+    kept = {r["company_id"]: (r["state"], r["description"]) for r in spark.read.parquet(str(tmp_path / "c")).collect()}
+    assert report["written_clean"] == 9 and kept == {i: ("NY", f"{i} {text}") for i in range(9)}
+    assert longest and max(longest) <= 128
