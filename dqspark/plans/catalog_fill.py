@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.functions import text as tx
 from dqspark.operators import impute, missing
 from dqspark.operators.ranking import stratified_split
 from dqspark.plans import companies as co
@@ -21,14 +20,13 @@ SIZE_PREDICTORS, SIZE_KIND = impute.BENCHMARKED["company_size"]
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    """Records to diagnose; a long description travels as its digest, which has the same nulls and equalities."""
-    rows = co.cleaned(spark, sf).withColumn("description", tx.shuffle_key(F.col("description")))
-    return pin(rows.select("company_id", *TEXTS, "company_size"), "records")
+    """Records to diagnose; a description is its digest, which has the same nulls and equalities."""
+    return pin(co.brief(spark, sf, "company_id", *TEXTS, "company_size"), "records")
 
 
 def _seq_records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """The asked columns of the records, written once."""
-    return pin(co.cleaned(spark, sf).select(F.col("_seq").alias("seq"), *columns), "records")
+    return pin(co.brief(spark, sf, "_seq", *columns).withColumnRenamed("_seq", "seq"), "records")
 
 
 def missing_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,8 +107,7 @@ def impute_trees_gain(spark: SparkSession, sf: str) -> DataFrame:
 
 def engine_rivals(spark: SparkSession, sf: str) -> DataFrame:
     """What the engine fills in where it chooses between a baseline and boosted trees and the city settles the value."""
-    rows = pin(co.cleaned(spark, sf).select(
-        F.col("_seq").alias("seq"), "company_size", "country", "state", "city", "zip_code"), "records")
+    rows = _seq_records(spark, sf, "company_size", "country", "state", "city", "zip_code")
     rivals = {"company_size": [impute.Baseline("median"), impute.Trees()], "country": [impute.Baseline("mode"), impute.Trees()]}
     filled, report = impute.run_engine(rows, "seq", rivals)
     asked = rows.filter((F.col("company_size").isNull() | F.col("country").isNull()) & F.col("city").isNotNull()).select("seq", "city")
@@ -121,8 +118,7 @@ def engine_rivals(spark: SparkSession, sf: str) -> DataFrame:
 
 def impute_stored_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Models fitted on three quarters of the records, stored, read back and applied to the others without a refit."""
-    rows = pin(co.cleaned(spark, sf).select(
-        F.col("_seq").alias("seq"), "company_size", "country", "state", "city", "zip_code"), "records")
+    rows = _seq_records(spark, sf, "company_size", "country", "state", "city", "zip_code")
     first, later = rows.filter("seq % 4 <> 0"), rows.filter("seq % 4 = 0")
     plain = {"company_size": [impute.Baseline("median")], "country": [impute.Baseline("mode")]}
     folder = f"{shared_folder(spark)}/imputers-{uuid.uuid4().hex}"
