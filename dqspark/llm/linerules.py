@@ -86,7 +86,7 @@ def normalised(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """(host, text_hash, line, n): words under each distinct line of each distinct text."""
+    """(host, text_hash, line, n): words under each distinct line of each distinct text, summed over its copies."""
     rows = docs.select(
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_of(text)).alias("text_hash"),
         F.explode(F.split(text_of(text), "\n")).alias("l"),
@@ -107,11 +107,11 @@ def common_in(lines: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE
 
 
 def losses(lines: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
-    """(host, text_hash, removed, depleted) of texts that lose words with the common lines."""
+    """(host, text_hash, removed, words, depleted) of texts that lose words with the common lines, words summed over copies."""
     lost = common_in(lines, min_texts, share).groupBy("host", "text_hash").agg(F.sum("n").alias("removed"))
     words_of = lines.groupBy("host", "text_hash").agg(F.sum("n").alias("words"))
     return words_of.join(lost, ["host", "text_hash"]).select(
-        "host", "text_hash", "removed", (2 * F.col("removed") > F.col("words")).alias("depleted")
+        "host", "text_hash", "removed", "words", (2 * F.col("removed") > F.col("words")).alias("depleted")
     )
 
 
@@ -122,7 +122,7 @@ def judge(
     lines = pin(line_table(docs, text, host), "lines")
     return look_up(base(docs, doc_id, text, host), losses(lines, min_texts, share), ["host", "text_hash"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("n_removed_words"), "base_failed",
+        F.coalesce(F.expr("removed * n_words div words"), F.lit(0)).cast("long").alias("n_removed_words"), "base_failed",
         (~F.col("base_failed") & ~F.coalesce(F.col("depleted"), F.lit(False))).alias("kept"),
     )
 

@@ -50,6 +50,29 @@ def test_common_lines_leave_the_texts(documents, monkeypatch, limit):
     assert judged[3]["n_removed_words"] == 6 and judged[53]["n_removed_words"] == 0 and judged[50]["n_removed_words"] == 2
 
 
+@pytest.mark.parametrize("limit", [0, 50_000])
+def test_copies_lose_their_words_once(spark, documents, folder, monkeypatch, limit):
+    from dqspark.operators import lookup
+
+    monkeypatch.setattr(linerules, "look_up", lambda df, table, on, how="left", _=0: lookup.look_up(df, table, on, how, limit))
+    rows = [(i, f"Menu  one\n{' '.join(prose(i, 60))}\nmenu ONE", "en", "h") for i in range(25)]
+    rows += [(100 + i, rows[i % 2][1], "en", "h") for i in range(6)] + [(200, "menu one", "en", "h"), (201, "menu one", "en", "h")]
+    path = folder(documents=documents(rows + odd()))
+    out = {r["doc_id"]: r for r in same_as_sql(queries.op6_linerules(spark, path), linerules.ORACLE, path, ("documents",))}
+    assert {out[k]["n_removed_words"] for k in (0, 1, 2, 100, 105)} == {4} and out[200]["n_removed_words"] == 2
+
+
+def test_long_list_of_losses_is_not_broadcast(spark, documents, monkeypatch):
+    from dqspark.operators import lookup
+
+    monkeypatch.setattr(linerules, "look_up", lambda df, table, on, how="left", _=0: lookup.look_up(df, table, on, how, 0))
+    df = documents([(i, f"menu one\n{' '.join(prose(i, 60))}", "en", "h") for i in range(25)])
+    for found in (linerules.judge(df), linerules.clean_texts(df)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def bench(spark, rows):
     return spark.createDataFrame([(*r, 1) for r in rows], "item_id long, text string, size int")
 
